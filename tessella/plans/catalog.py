@@ -6,7 +6,7 @@ import importlib
 
 from tessella.plans import registry
 
-MODULES = ["text", "similarity"]
+MODULES = ["text", "similarity", "habits"]
 
 
 def _load() -> None:
