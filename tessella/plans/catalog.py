@@ -6,7 +6,7 @@ import importlib
 
 from tessella.plans import registry
 
-MODULES = ["text", "similarity", "habits"]
+MODULES = ["text", "similarity", "habits", "notes", "messages"]
 
 
 def _load() -> None:

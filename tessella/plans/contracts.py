@@ -103,3 +103,82 @@ def friend_events(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("event_type") == "signup", "pending")
                     .when(F.col("event_type") == "purchase", "accepted")
                     .otherwise("removed").alias("status")))
+
+# ----------------------------------------------------------- notes (documents)
+
+HID = "substr(md5(CAST({x} AS VARCHAR)), 1, 12)"
+
+
+def hid_sql(x: str) -> str:
+    return HID.format(x=x)
+
+
+NOTES_SQL = f"""notes AS (SELECT {hid_sql('doc_id')} AS note_id, 'Note ' || doc_id || ' ' || source AS title,
+    text || ' [[' || {hid_sql('doc_id - doc_id % 7')} || ']]'
+      || CASE WHEN doc_id % 7 = 0 THEN ' [[' || {hid_sql('doc_id * 2')} || ']]' ELSE '' END AS content,
+    TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS created_at,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id * 7 % 1000 AS INTEGER)) AS updated_at,
+    doc_id, lang, source FROM documents),
+note_tags AS (SELECT note_id, source AS tag FROM notes UNION ALL SELECT note_id, lang FROM notes),
+tags AS (SELECT DISTINCT tag FROM note_tags UNION SELECT n_name FROM nation),
+found AS (SELECT DISTINCT note_id AS src, unnest(regexp_extract_all(content, '\\[\\[([a-f0-9]{{12}})\\]\\]', 1)) AS dst FROM notes),
+links AS (SELECT src, dst FROM found WHERE src <> dst AND dst IN (SELECT note_id FROM notes))"""
+
+
+def hid(x):
+    return F.substring(F.md5(x.cast("string")), 1, 12)
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        hid(k).alias("note_id"), F.concat_ws(" ", F.lit("Note"), "doc_id", "source").alias("title"),
+        F.concat("text", F.lit(" [["), hid(k - k % 7), F.lit("]]"),
+                 F.when(k % 7 == 0, F.concat(F.lit(" [["), hid(k * 2), F.lit("]]")))
+                 .otherwise("")).alias("content"),
+        F.timestamp_seconds(1704067200 + k * 60).alias("created_at"),
+        F.timestamp_seconds(1704067200 + k * 7 % 1000 * 3600).alias("updated_at"),
+        "doc_id", "lang", "source")
+
+
+def note_tags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
+        hid(F.col("doc_id")).alias("note_id"), F.explode(F.array("source", "lang")).alias("tag"))
+
+
+def tags(spark: SparkSession, d: str) -> DataFrame:
+    return note_tags(spark, d).select("tag").distinct().union(
+        table(spark, d, "nation").select("n_name")).distinct()
+
+
+SHARES_SQL = """shares AS (SELECT md5('share' || doc_id) AS token, note_id, title,
+    CASE WHEN doc_id % 2 = 0 THEN 'write' ELSE 'read' END AS permission,
+    CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2024-01-20 00:00:00' WHEN 2 THEN '2024-02-20 10:00:00'
+      WHEN 3 THEN 'soon' ELSE '2024-01-30 00:00:00' END AS expires_at,
+    doc_id % 4 <> 0 AS is_active, CASE WHEN doc_id % 3 = 0 THEN sha256('pw' || doc_id) END AS password_hash,
+    doc_id % 11 = 0 AS gone, created_at FROM notes),
+valid AS (SELECT *, is_active AND NOT coalesce(TIMESTAMP '2024-01-30' > TRY_CAST(expires_at AS TIMESTAMP), FALSE) AS ok FROM shares)"""
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    return notes(spark, d).select(
+        F.md5(F.concat(F.lit("share"), k.cast("string"))).alias("token"), "note_id",
+        F.when(k % 2 == 0, "write").otherwise("read").alias("permission"),
+        F.expr("CASE doc_id % 5 WHEN 1 THEN '2024-01-20 00:00:00' WHEN 2 THEN '2024-02-20 10:00:00' "
+               "WHEN 3 THEN 'soon' WHEN 4 THEN '2024-01-30 00:00:00' END").alias("expires_at"),
+        (k % 4 != 0).alias("is_active"),
+        F.when(k % 3 == 0, F.sha2(F.concat(F.lit("pw"), k.cast("string")), 256)).alias("password_hash"),
+        "created_at")
+
+
+VERSIONS_SQL = """versions AS (SELECT 'n' || conv_id AS note_id, conv_id * 100 + turn AS version_id,
+    turn AS version, role AS title, text AS content, conv_id FROM conversations)"""
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(
+        F.concat(F.lit("n"), "conv_id").alias("note_id"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("version_id"),
+        F.col("turn").alias("version"), F.col("role").alias("title"), F.col("text").alias("content"),
+        "conv_id")
