@@ -6,7 +6,7 @@ import importlib
 
 from tessella.plans import registry
 
-MODULES = ["text", "similarity", "habits", "notes", "messages"]
+MODULES = ["text", "similarity", "habits", "notes", "messages", "inventory", "rules"]
 
 
 def _load() -> None:

@@ -182,3 +182,89 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
         (F.col("conv_id") * 100 + F.col("turn")).alias("version_id"),
         F.col("turn").alias("version"), F.col("role").alias("title"), F.col("text").alias("content"),
         "conv_id")
+
+# ------------------------------------------------------ files (documents, pages)
+
+FILE_ROOT = "/data"
+EXTS = ["py", "txt", "jpg", "js", "md", "mp3", "go", "json", "zip", "java", "ts", "mp4", "c", "ini", "pdf"]
+
+
+def _pick(k: str, items: list[str], n: int) -> str:
+    return f"CASE {k} % {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(items)) + " END"
+
+
+def ext_expr(k: str) -> str:
+    return _pick(k, [f"'{e}'" for e in EXTS], len(EXTS))
+
+
+def stem_expr(k: str) -> str:
+    return _pick(k, [f"concat('mod_', {k})", f"concat('page-item', {k})", f"concat('Report', {k})",
+                     f"concat('dataSet', {k})", f"concat('MAX_', {k})",
+                     f"concat('2024-01-', 10 + {k} % 20, '-x y')", f"concat('a b.', {k})",
+                     f"concat('unit test ', {k})", f"concat('README file ', {k})"], 9)
+
+
+def name_expr(k: str) -> str:
+    return f"concat({stem_expr(k)}, '.', {ext_expr(k)})"
+
+
+def files_sql(div: str) -> str:
+    """The same text runs in both engines; only integer division differs."""
+    k = "doc_id"
+    folder = _pick(k, ["'/data'", "concat('/data/', source)", "concat('/data/', source)",
+                       "concat('/data/', source, '/', lang)", "concat('/data/', source, '/', lang)",
+                       f"concat('/data/', source, '/', lang, '/d', doc_id {div} 100, '/a/b/c/e/f/g/h')",
+                       f"concat('/data/mods/g', doc_id {div} 210)"], 7)
+    up = _pick(k, ["'./'", "'../'", "'../'", "'../../'", "'../../'", "'./'", "'./'"], 7)
+    return f"""SELECT concat({folder}, '/', {name_expr(k)}) AS path, {name_expr(k)} AS name,
+    {ext_expr(k)} AS extension, n_chars * CASE WHEN doc_id % 50 = 0 THEN 40000 ELSE 37 END AS size,
+    doc_id AS n, {folder} AS parent, {up} AS up, text FROM documents"""
+
+
+FILES_SQL = f"""files AS (SELECT path, name, extension, CAST(size AS BIGINT) AS size,
+    TIMESTAMP '2023-06-01' + to_days(CAST(n % 400 AS INTEGER)) + to_hours(CAST(n % 24 AS INTEGER)) AS modified_time,
+    TIMESTAMP '2023-05-31' + to_days(CAST(n % 400 AS INTEGER)) + to_hours(CAST(n % 24 AS INTEGER)) AS created_time,
+    parent, len(string_split(path, '/')) - 2 AS depth, n, up, text FROM ({files_sql('//')})
+  UNION ALL SELECT '/data/web/p' || page_id || '.html', 'p' || page_id || '.html', 'html', length(html),
+    TIMESTAMP '2023-12-01' + to_days(CAST(page_id % 60 AS INTEGER)), TIMESTAMP '2023-11-30' + to_days(CAST(page_id % 60 AS INTEGER)),
+    '/data/web', 2, -1 - page_id, '', html FROM pages)"""
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Inventory rows with the columns the contract names, plus n, up and text."""
+    from_docs = spark.sql(files_sql("div").replace("FROM documents", "FROM {t}"),
+                          t=table(spark, d, "documents"))
+    base = F.unix_timestamp(F.lit("2023-06-01").cast("timestamp"))
+    n = F.col("n")
+    at = base + n % 400 * 86400 + n % 24 * 3600
+    docs = from_docs.select(
+        "path", "name", "extension", "size", F.timestamp_seconds(at).alias("modified_time"),
+        F.timestamp_seconds(at - 86400).alias("created_time"), "parent",
+        (F.size(F.split("path", "/")) - 2).alias("depth"), "n", "up", "text")
+    p = F.col("page_id")
+    web = F.unix_timestamp(F.lit("2023-12-01").cast("timestamp")) + p % 60 * 86400
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("/data/web/p"), p, F.lit(".html")).alias("path"),
+        F.concat(F.lit("p"), p, F.lit(".html")).alias("name"), F.lit("html").alias("extension"),
+        F.length("html").cast("long").alias("size"), F.timestamp_seconds(web).alias("modified_time"),
+        F.timestamp_seconds(web - 86400).alias("created_time"), F.lit("/data/web").alias("parent"),
+        F.lit(2).alias("depth"), (-1 - p).alias("n"), F.lit("").alias("up"), F.col("html").alias("text"))
+    return docs.unionByName(pages)
+
+
+def _source_lines(near: str, far: str) -> str:
+    return (f"concat('import os', chr(10), 'from pkg.mod', n % 5, ' import x', chr(10), '#include \"h', n % 4, '.h\"', chr(10), "
+            f"'x = \"github.com/a/b', n % 3, '\" + \"plain\"', chr(10), {far}, {near}, text)")
+
+
+FAR = f"CASE WHEN n < 0 THEN '' ELSE concat('import ''', up, {name_expr('(n - n % 7)')}, '''', chr(10)) END"
+NEAR_LINE = f"concat('import ''./', {name_expr('greatest(n + 7 * i, 0)')}, '''', chr(10))"
+TEXTS_SQL = f"""texts AS (SELECT path, extension, {_source_lines(
+    "array_to_string(list_transform(range(-6, 7), lambda i: " + NEAR_LINE + "), '')", FAR)} AS text FROM files)"""
+
+
+def source_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Inventory files with import lines put before their text."""
+    near = f"array_join(transform(sequence(-6, 6), i -> {NEAR_LINE}), '')"
+    return spark.sql(f"SELECT path, extension, {_source_lines(near, FAR)} AS text FROM {{t}}",
+                     t=files(spark, d))
