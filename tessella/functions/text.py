@@ -56,6 +56,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def squeeze_ends(text: Column) -> Column:
+    """Trim every kind of white space."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def strip_punctuation(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, PUNCTUATION, " "))
 

@@ -6,7 +6,8 @@ import importlib
 
 from tessella.plans import registry
 
-MODULES = ["text", "similarity", "habits", "notes", "messages", "inventory", "rules"]
+MODULES = ["text", "similarity", "habits", "notes", "messages", "inventory", "rules",
+           "sentiment"]
 
 
 def _load() -> None:

@@ -200,7 +200,7 @@ def ext_expr(k: str) -> str:
 def stem_expr(k: str) -> str:
     return _pick(k, [f"concat('mod_', {k})", f"concat('page-item', {k})", f"concat('Report', {k})",
                      f"concat('dataSet', {k})", f"concat('MAX_', {k})",
-                     f"concat('2024-01-', 10 + {k} % 20, '-x y')", f"concat('a b.', {k})",
+                     f"concat('2024-01-', 10 + {k} % 20, '-x ', {k})", f"concat('a b.', {k})",
                      f"concat('unit test ', {k})", f"concat('README file ', {k})"], 9)
 
 
