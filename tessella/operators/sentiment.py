@@ -26,8 +26,17 @@ def lexicon_rows(df: DataFrame) -> list[tuple[str, float]]:
 
 
 def _table(lexicon: list[tuple[str, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(w).alias("word"), F.lit(float(v)).alias("weight"))
-                     for w, v in lexicon])
+    """A literal array<struct<word, weight>>; written as one SQL literal because
+    building it column by column costs more than scoring a corpus."""
+    def text(w: str) -> str:
+        return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join(
+        f"struct({text(w)} AS word, {float(v)!r}D AS weight)" for w, v in lexicon) + ")")
+
+
+def bind(value: Column, use) -> Column:
+    """Evaluate an expression once and use it as a variable, also in lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _quoted(word: Column) -> Column:
@@ -35,28 +44,31 @@ def _quoted(word: Column) -> Column:
 
 
 def _before_hits(text: Column, word: Column, window: int) -> Column:
-    """The up to `window` characters before every non-overlapping hit."""
-    q = _quoted(word)
-    pattern = F.concat(F.lit("(?s)"), q, F.lit(f"(?<=(^.{{0,{window - 1}}}|.{{{window}}})"), q, F.lit(")"))
-    return F.regexp_extract_all(text, pattern, 1)
+    """The up to `window` characters before every non-overlapping hit: the tail
+    of what was seen so far, carried from one piece between hits to the next."""
+    pieces = F.split(text, _quoted(word), -1)
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("found"), F.lit("").alias("seen"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        before = F.right(F.concat(acc["seen"], piece), F.lit(window))
+        return F.struct(F.array_append(acc["found"], before).alias("found"),
+                        F.concat(before, word).alias("seen"))
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda a: a["found"])
+
+
+def _first_found(prefix: Column, table: list[tuple[str, float]]) -> Column:
+    found = F.filter(_table(table), lambda w: F.contains(prefix, w["word"]))
+    return F.coalesce(F.get(found, 0)["weight"], F.lit(1.0))
 
 
 def negation(prefix: Column, table=sd.NEGATIONS) -> Column:
     """Factor of the first negation, in table order, found before a hit."""
-    out = None
-    for word, factor in table:
-        hit = prefix.contains(word)
-        out = F.when(hit, factor) if out is None else out.when(hit, factor)
-    return out.otherwise(1.0)
+    return _first_found(prefix, table)
 
 
 def intensity(prefix: Column, table=sd.INTENSIFIERS) -> Column:
     """Factor of the longest degree word before a hit; the earlier one on ties."""
-    out = None
-    for word, factor in sorted(table, key=lambda r: -len(r[0])):
-        hit = prefix.contains(word)
-        out = F.when(hit, factor) if out is None else out.when(hit, factor)
-    return out.otherwise(1.0)
+    return _first_found(prefix, sorted(table, key=lambda r: -len(r[0])))
 
 
 def _contained(text: Column, lexicon: list[tuple[str, float]]) -> Column:
@@ -75,8 +87,10 @@ def hits(text: Column, lexicon, window: int) -> Column:
 
 
 def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(values, start, lambda a, v: F.struct(
+        (a["s"] + v).alias("s"), (a["n"] + 1).alias("n")),
+        lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0))
 
 
 def _weighted(found: Column) -> Column:
@@ -89,7 +103,7 @@ def lexicon_score(text: Column, language: Column, lexicon=None) -> Column:
     plain = F.flatten(F.transform(_contained(text, negated), lambda w: F.array_repeat(
         w["weight"], F.regexp_count(text, _quoted(w["word"])))))
     zh = F.concat(_weighted(hits(text, lexicon, sd.WINDOW["chinese"])), plain)
-    en = _weighted(hits(F.lower(text), _lower(lexicon), sd.WINDOW["english"]))
+    en = bind(F.lower(text), lambda t: _weighted(hits(t, _lower(lexicon), sd.WINDOW["english"])))
     return F.when(language == "chinese", _mean(zh)).otherwise(_mean(en))
 
 
@@ -99,8 +113,13 @@ def pattern_score(text: Column, language: Column) -> Column:
         for p, v in patterns:
             out = out + F.regexp_count(on, F.lit(f"(?{flags}){p}")) * v
         return out
-    zh = total(sd.PATTERNS, text, "d")
-    en = total(sd.PATTERNS, text, "diu") + total(sd.ENGLISH_PATTERNS, F.lower(text), "d")
+    # All but the last general pattern need a Chinese character or one of three
+    # ASCII words, so other texts skip them after one scan.
+    general, latin = sd.PATTERNS[:-1], sd.PATTERNS[-1:]
+    possible = text.rlike(rf"(?i){tx.CJK}|yyds|666|lj")
+    zh = F.when(possible, total(general, text, "d")).otherwise(0.0) + total(latin, text, "d")
+    en = (F.when(possible, total(general, text, "diu")).otherwise(0.0) + total(latin, text, "diu")
+          + bind(F.lower(text), lambda t: total(sd.ENGLISH_PATTERNS, t, "d")))
     return F.when(language == "chinese", zh).otherwise(en)
 
 
@@ -124,12 +143,13 @@ def sentence_score(text: Column, language: Column, lexicon=None) -> Column:
         return F.transform(_contained(s, lexicon), one)
 
     def en(s: Column) -> Column:
-        return F.transform(_contained(F.lower(s), _lower(lexicon)), lambda w: w["weight"])
-    parts = F.filter(F.transform(F.split(text, sd.SENTENCE_SPLIT), tx.squeeze_ends), lambda s: s != "")
+        return F.transform(_contained(s, _lower(lexicon)), lambda w: w["weight"])
 
-    def per(score) -> Column:
-        return _mean(F.transform(F.filter(F.transform(parts, score), lambda v: F.size(v) > 0), _mean))
-    return F.when(language == "chinese", per(zh)).otherwise(per(en))
+    def per(on: Column, score) -> Column:
+        """A sentence without a hit, hence also a blank one, does not count."""
+        found = F.filter(F.transform(F.split(on, sd.SENTENCE_SPLIT), score), lambda v: F.size(v) > 0)
+        return bind(F.transform(found, _mean), _mean)
+    return F.when(language == "chinese", per(text, zh)).otherwise(per(F.lower(text), en))
 
 
 def sentiment(docs: DataFrame, text: str = "text", lexicon=None, emoji=None,
@@ -199,6 +219,7 @@ def context_factors(docs: DataFrame, key: str, lexicon=None, text: str = "text",
                     window: int = 5) -> DataFrame:
     """(key, word, before, negation, intensity), one row per hit."""
     lexicon = lexicon or sd.LEXICON
-    return docs.select(key, F.explode(hits(F.lower(text), _lower(lexicon), window)).alias("h")).select(
+    found = bind(F.lower(text), lambda t: hits(t, _lower(lexicon), window))
+    return docs.select(key, F.explode(found).alias("h")).select(
         key, "h.word", "h.before", negation(F.col("h.before")).alias("negation"),
         intensity(F.col("h.before")).alias("intensity"))

@@ -7,7 +7,7 @@ import importlib
 from tessella.plans import registry
 
 MODULES = ["text", "similarity", "habits", "notes", "messages", "inventory", "rules",
-           "sentiment"]
+           "sentiment", "entities"]
 
 
 def _load() -> None:

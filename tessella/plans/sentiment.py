@@ -80,13 +80,13 @@ final AS (SELECT *, greatest(0.01, least(0.99, (raw_score + 1) / 2)) AS p FROM b
 
 
 def _score(name, column):
-    @query(name, f"WITH {SCORES} SELECT doc_id, round({column}::DOUBLE, 6) AS score FROM scores")
+    @query(name, f"WITH {SCORES} SELECT doc_id, round({column}::DOUBLE, 10) AS score FROM scores")
     def run(spark, d):
         t, lang = F.col("text"), tx.language_by_majority(F.col("text"))
         fn = {"lexicon_score": sn.lexicon_score, "pattern_score": sn.pattern_score,
               "sentence_score": sn.sentence_score}.get(name)
         return _docs(spark, d).select("doc_id", F.round(
-            fn(t, lang) if fn else sn.emoji_score(t), 6).alias("score"))
+            fn(t, lang) if fn else sn.emoji_score(t), 10).alias("score"))
     return run
 
 
@@ -97,11 +97,11 @@ for _n in ("lexicon_score", "pattern_score", "sentence_score", "emoji_score"):
 @query("sentiment", f"""WITH {SCORES} SELECT doc_id, language, CASE WHEN p >= 0.5 THEN 'positive' ELSE 'negative' END AS sentiment,
 CASE WHEN NOT regexp_matches(text, '{tx.NON_SPACE}') THEN '正面' WHEN p >= 0.8 THEN '非常正面' WHEN p >= 0.65 THEN '比较正面' WHEN p >= 0.5 THEN '正面' WHEN p <= 0.2 THEN '非常负面'
   WHEN p <= 0.35 THEN '比较负面' ELSE '负面' END AS sentiment_name,
-round(p::DOUBLE, 6) AS positive_score, round(raw_score::DOUBLE, 6) AS raw_score, round(greatest(0.5, least(0.99, 0.5 + abs(p - 0.5)))::DOUBLE, 6) AS confidence FROM final""")
+round(p::DOUBLE, 10) AS positive_score, round(raw_score::DOUBLE, 10) AS raw_score, round(greatest(0.5, least(0.99, 0.5 + abs(p - 0.5)))::DOUBLE, 10) AS confidence FROM final""")
 def sentiment(spark, d):
     return sn.sentiment(_docs(spark, d)).select(
         "doc_id", "language", "sentiment", "sentiment_name",
-        *[F.round(c, 6).alias(c) for c in ("positive_score", "raw_score", "confidence")])
+        *[F.round(c, 10).alias(c) for c in ("positive_score", "raw_score", "confidence")])
 
 
 @query("sentiment_gauge", f"""WITH {SCORES} SELECT doc_id, CASE WHEN p <= 0.2 THEN '非常负面' WHEN p <= 0.4 THEN '比较负面'
