@@ -103,11 +103,10 @@ def person_spans(text: Column) -> Column:
     return F.when(text.rlike(HAS_CJK), F.concat(with_title, short, speaker, office)).otherwise(sp.none())
 
 
-def with_english_spans(docs: DataFrame, text: str = "text", name: str = "english") -> DataFrame:
+def english_spans(text: Column) -> Column:
     """Known organisations, titled names, names, organisation and place endings,
-    times. A later pattern yields to any earlier hit it overlaps; one column
-    per stage lets each stage read the one before without repeating it."""
-    t = F.col(text)
+    times. A later pattern yields to any earlier hit it overlaps: a fold over the
+    list of stages, each an array of spans."""
     orgs = [(n, "ORG", 0.92) for n in ed.ENGLISH_ORGS]
     words = lambda lo, hi: lambda s: sp.word_count(s["text"]).between(lo, hi)
     stages = [
@@ -117,14 +116,12 @@ def with_english_spans(docs: DataFrame, text: str = "text", name: str = "english
         (ed.ENGLISH_LOCATION, "LOC", 0.80, words(2, 5)),
         *[(p, "TIME", v, None) for p, v in ed.ENGLISH_TIMES],
     ]
-    rows = docs.withColumn(name, sp.of_names(t, name_array(orgs)))
+    found = []
     for pattern, kind, confidence, keep in stages:
-        found = sp.of_pattern(t, pattern, kind, confidence)
-        found = F.filter(found, keep) if keep else found
-        rows = rows.withColumn("_found", found).withColumn(name, F.when(
-            F.size("_found") == 0, F.col(name)).otherwise(
-            F.concat(F.col(name), sp.not_touching(F.col("_found"), F.col(name)))))
-    return rows.drop("_found")
+        spans = sp.of_pattern(text, pattern, kind, confidence)
+        found.append(F.filter(spans, keep) if keep else spans)
+    return F.aggregate(F.array(*found), sp.of_names(text, name_array(orgs)),
+                       lambda kept, new: F.concat(kept, sp.not_touching(new, kept)))
 
 
 def postprocess(spans: Column, text: Column) -> Column:
@@ -182,16 +179,17 @@ def merge_adjacent(spans: Column, text: Column) -> Column:
     return F.aggregate(spans, sp.none(), step)
 
 
+def candidates(text: Column, names=None) -> Column:
+    english = F.when(tx.language_by_majority(text) == "english", english_spans(text)).otherwise(sp.none())
+    return F.concat(gazetteer_spans(text, names), time_spans(text), suffix_spans(text),
+                    person_spans(text), english)
+
+
 def recognize(docs: DataFrame, names=None, text: str = "text") -> DataFrame:
     """Adds `entities`, the final spans of each text."""
     t = F.col(text)
-    rows = with_english_spans(docs, text, "_english").withColumn("_all", F.concat(
-        gazetteer_spans(t, names), time_spans(t), suffix_spans(t), person_spans(t),
-        F.when(tx.language_by_majority(t) == "english", F.col("_english")).otherwise(sp.none())))
-    rows = rows.withColumn("_all", postprocess(F.col("_all"), t))
-    rows = rows.withColumn("_all", resolve_overlaps(F.col("_all")))
-    rows = rows.withColumn("_all", merge_adjacent(F.col("_all"), t))
-    return rows.withColumn("entities", postprocess(F.col("_all"), t)).drop("_all", "_english")
+    spans = resolve_overlaps(postprocess(candidates(t, names), t))
+    return docs.withColumn("entities", postprocess(merge_adjacent(spans, t), t))
 
 
 def entity_rows(recognized: DataFrame, key: str) -> DataFrame:

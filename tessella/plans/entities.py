@@ -12,7 +12,7 @@ from tessella.sources.tables import spread, table
 
 TEXT = ("concat(text, CASE doc_id % 5 WHEN 0 THEN concat(' Dr. Anna Smith met Google in London City on 2024-01-', 10 + doc_id % 19, '.') "
         "WHEN 1 THEN concat(' Ordered at ', 10 + doc_id % 12, ':', 10 + doc_id % 49, ' in 19', 10 + doc_id % 80, ', Python API') "
-        "WHEN 2 THEN ' 昨天王小明先生在北京清华大学说人工智能' WHEN 3 THEN ' The North Star Trading Company and Mary Jane Poppins today' ELSE '' END)")
+        "WHEN 2 THEN ' 王小明先生昨天在北京清华大学说人工智能。 华星科技有限公司 海州市 李总' WHEN 3 THEN ' The North Star Trading Company and Mary Jane Poppins today' ELSE '' END)")
 DOCS = f"docs AS (SELECT doc_id, {TEXT} AS text FROM documents)"
 
 
@@ -77,25 +77,18 @@ def person_entities(spark, d):
 
 @query("english_entities")
 def english_entities(spark, d):
-    rows = en.with_english_spans(_docs(spark, d))
-    return rows.select("doc_id", F.explode("english").alias("s")).select("doc_id", "s.*")
-
-
-def _mixed(spark, d):
-    return en.with_english_spans(_docs(spark, d), name="e").withColumn("all", F.concat(
-        en.gazetteer_spans(F.col("text")), en.time_spans(F.col("text")), en.suffix_spans(F.col("text")),
-        en.person_spans(F.col("text")), F.col("e"))).drop("e")
+    return _rows(spark, d, en.english_spans(F.col("text")))
 
 
 @query("resolve_overlaps")
 def resolve_overlaps(spark, d):
-    return _mixed(spark, d).select("doc_id", F.explode(en.resolve_overlaps(F.col("all"))).alias("s")).select("doc_id", "s.*")
+    return _rows(spark, d, en.resolve_overlaps(en.candidates(F.col("text"))))
 
 
 @query("merge_adjacent")
 def merge_adjacent(spark, d):
-    rows = _mixed(spark, d).withColumn("all", en.resolve_overlaps(F.col("all")))
-    return rows.select("doc_id", F.explode(en.merge_adjacent(F.col("all"), F.col("text"))).alias("s")).select("doc_id", "s.*")
+    t = F.col("text")
+    return _rows(spark, d, en.merge_adjacent(en.resolve_overlaps(en.candidates(t)), t))
 
 
 @query("entity_postprocess", f"""WITH {GAZ}, {TIME}, a AS (SELECT * FROM gazetteer UNION ALL SELECT * FROM times)
