@@ -7,7 +7,8 @@ import importlib
 from tessella.plans import registry
 
 MODULES = ["text", "similarity", "habits", "notes", "messages", "inventory", "rules",
-           "sentiment", "entities"]
+           "sentiment", "entities", "rooms",
+           "sources"]
 
 
 def _load() -> None:

@@ -27,3 +27,30 @@ def checkins_json(habits: DataFrame, days: DataFrame, path: str, start: str, end
         F.date_format("date", "yyyy-MM-dd").alias("date"), "type")
     listed = habits.select(F.lit("habit").alias("record"), "habit_id")
     listed.unionByName(chosen, allowMissingColumns=True).write.json(path)
+
+
+SECTIONS = ("rules", "recommendations", "structure", "naming", "modules", "statistics")
+
+
+def report(sections: dict[str, DataFrame], path: str, enabled=SECTIONS) -> list[str]:
+    """One folder of JSON lines per enabled section; returns what was written."""
+    written = []
+    for name in SECTIONS:
+        if name in enabled and name in sections:
+            sections[name].write.json(f"{path}/{name}")
+            written.append(name)
+    return written
+
+
+def append_history(records: DataFrame, path: str) -> None:
+    """Analysis records; parameters and results are stored as JSON text."""
+    packed = records.withColumns({c: F.to_json(c) for c in ("parameters", "results")})
+    packed.write.mode("append").parquet(path)
+
+
+def upsert_documents(existing: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per path, the latest `updated_at` wins."""
+    fields = [c for c in existing.columns if c != "path"]
+    both = existing.unionByName(changes)
+    last = both.groupBy("path").agg(F.max_by(F.struct(*fields), "updated_at").alias("r"))
+    return last.select("path", "r.*")
