@@ -61,7 +61,7 @@ def test_lexicon_score_matches_plain_python(spark):
 
 
 def test_sentiment_labels(spark):
-    df = spark.createDataFrame([("非常好，强烈推荐！",), ("垃圾产品，非常失望，千万别买",), ("  ",)], "text string")
+    df = spark.createDataFrame([("很好，强烈推荐！",), ("垃圾产品，非常失望，千万别买",), ("  ",)], "text string")
     got = [(r["sentiment"], r["positive_score"]) for r in sn.sentiment(df).collect()]
     assert got[0][0] == "positive" and got[1][0] == "negative" and got[2] == ("positive", 0.5)
 
