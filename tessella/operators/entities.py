@@ -13,6 +13,7 @@ from tessella.data import entities as ed
 from tessella.functions import spans as sp
 from tessella.functions import text as tx
 from tessella.functions.bounds import bounded_broadcast
+from tessella.functions.rows import unnest
 
 MAX_NAMES = 5_000
 HAS_CJK = r"[\x{4e00}-\x{9fa5}]"
@@ -26,6 +27,10 @@ def name_array(names: list[tuple[str, str, float]]) -> Column:
         for n, t, c in names) + ")")
 
 
+def span_rows(docs: DataFrame, key: str, spans: Column) -> DataFrame:
+    return unnest(docs, [key], spans, "s").select(key, "s.*")
+
+
 def gazetteer_spans(text: Column, names=None) -> Column:
     return sp.of_names(text, name_array(names or ed.GAZETTEER))
 
@@ -37,7 +42,7 @@ def gazetteer_entities(docs: DataFrame, key: str, gazetteer: DataFrame, text: st
     rows = gazetteer.select("name", "type", "confidence").limit(MAX_NAMES + 1).collect()
     if len(rows) <= MAX_NAMES:
         spans = gazetteer_spans(F.col(text), [tuple(r) for r in rows])
-        return docs.select(key, F.explode(spans).alias("s")).select(key, "s.*")
+        return span_rows(docs, key, spans)
     return gazetteer_join(docs, key, gazetteer, text)
 
 
@@ -51,8 +56,8 @@ def gazetteer_join(docs: DataFrame, key: str, gazetteer: DataFrame, text: str =
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
             i.alias("start"), F.array_join(F.slice("chars", i + 1, n), "").alias("name"))))
     empty = F.expr("cast(array() as array<struct<start:int,name:string>>)")
-    exploded = chars.select(key, F.explode(F.concat(
-        *[F.coalesce(grams(n), empty) for n in lengths])).alias("g")).select(key, "g.*")
+    exploded = unnest(chars, [key], F.concat(
+        *[F.coalesce(grams(n), empty) for n in lengths]), "g").select(key, "g.*")
     hit = exploded.join(bounded_broadcast(gazetteer.select("name", "type", "confidence")), "name")
     return hit.select(key, "start", (F.col("start") + F.length("name")).alias("end"),
                       F.col("name").alias("text"), "type", "confidence")
@@ -193,7 +198,7 @@ def recognize(docs: DataFrame, names=None, text: str = "text") -> DataFrame:
 
 
 def entity_rows(recognized: DataFrame, key: str) -> DataFrame:
-    return recognized.select(key, F.explode("entities").alias("s")).select(key, "s.*")
+    return span_rows(recognized, key, F.col("entities"))
 
 
 def entity_stats(rows: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.data import badges as fixed
+from tessella.functions.rows import unnest
 
 
 def day(value: str) -> Column:
@@ -216,7 +217,7 @@ def checkin_quality(rows: DataFrame, as_of: str) -> DataFrame:
 
 def broken_rules(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return rows.select(key, F.explode(broken).alias("rule"))
+    return unnest(rows, [key], broken, "rule")
 
 
 def habit_quality(habits: DataFrame) -> DataFrame:

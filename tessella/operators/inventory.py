@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessella.data import filetypes as ft
 from tessella.functions import files as fx
 from tessella.functions.bounds import fixed_table
+from tessella.functions.rows import unnest
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -38,8 +39,7 @@ def keep_scanned(files: DataFrame) -> DataFrame:
 
 def source_imports(texts: DataFrame, compat: bool = False) -> DataFrame:
     """(path, extension, text) → (path, import)."""
-    return texts.select("path", F.explode(fx.imports(
-        F.col("extension"), F.col("text"), compat)).alias("import"))
+    return unnest(texts, ["path"], fx.imports(F.col("extension"), F.col("text"), compat), "import")
 
 
 def dependency_edges(imports: DataFrame, code_paths: DataFrame) -> DataFrame:

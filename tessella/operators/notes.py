@@ -8,6 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.rows import unnest
 from tessella.operators.habits import broken_rules
 from tessella.operators.ordered import previous_in_key
 
@@ -19,7 +20,7 @@ def extract_links(notes: DataFrame) -> DataFrame:
     the note before the shuffle; the semi join is on dst, so a hub note is
     skew on the streamed side, which AQE splits."""
     found = F.array_distinct(F.regexp_extract_all("content", F.lit(LINK), 1))
-    pairs = notes.select(F.col("note_id").alias("src"), F.explode(found).alias("dst"))
+    pairs = unnest(notes, ["note_id"], found, "dst").withColumnRenamed("note_id", "src")
     known = notes.select(F.col("note_id").alias("dst"))
     return pairs.where("src <> dst").join(known, "dst", "left_semi").select("src", "dst")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.data import filetypes as ft
 from tessella.functions import files as fx
+from tessella.functions.rows import unnest
 from tessella.operators.ordered import running_sum_in_key, sequence_in_key
 
 MAX_RULE_ROWS = 20_000
@@ -109,7 +110,7 @@ def match_all(files: DataFrame, rules: list[Rule], as_of: str) -> DataFrame:
         F.when(predicate(r, as_of), F.struct(F.lit(r.id).alias("rule_id"),
                                              F.lit(r.priority).alias("priority")))
         for r in ordered(rules)]))
-    return files.select("path", F.explode(hits).alias("m")).select("path", "m.*")
+    return unnest(files, ["path"], hits, "m").select("path", "m.*")
 
 
 def match_first(files: DataFrame, rules: list[Rule], as_of: str) -> DataFrame:
@@ -186,7 +187,7 @@ def action_plan(files: DataFrame, rules: list[Rule], as_of: str, run_stamp: str
     if chains is None:
         chains = F.expr("cast(NULL AS array<struct<step:int,action:string,source:string,"
                         "target:string,status:string>>)")
-    return planned.select("path", "rule_id", F.explode(chains).alias("s")).select("path", "rule_id", "s.*")
+    return unnest(planned, ["path", "rule_id"], chains, "s").select("path", "rule_id", "s.*")
 
 
 COPY_NAME = r"^(.*)\((\d+)\)(\.[^./]*)?$"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.data import sentiment as sd
 from tessella.functions import text as tx
+from tessella.functions.rows import unnest
 
 MAX_LEXICON = 20_000
 
@@ -205,7 +206,7 @@ def lexicon_matches(docs: DataFrame, key: str, lexicon=None, text: str = "text")
     """(key, word, weight, position) of every non-overlapping hit. Positions are
     running lengths of the pieces between hits of one word in one text."""
     lexicon = lexicon or sd.LEXICON
-    words = docs.select(key, text, F.explode(_contained(F.col(text), lexicon)).alias("w"))
+    words = unnest(docs, [key, text], _contained(F.col(text), lexicon), "w")
     pieces = words.select(key, "w.word", "w.weight", F.posexplode(
         F.split(F.col(text), _quoted(F.col("w.word")), -1)).alias("i", "piece"))
     w = Window.partitionBy(key, "word").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -220,6 +221,6 @@ def context_factors(docs: DataFrame, key: str, lexicon=None, text: str = "text",
     """(key, word, before, negation, intensity), one row per hit."""
     lexicon = lexicon or sd.LEXICON
     found = bind(F.lower(text), lambda t: hits(t, _lower(lexicon), window))
-    return docs.select(key, F.explode(found).alias("h")).select(
+    return unnest(docs, [key], found, "h").select(
         key, "h.word", "h.before", negation(F.col("h.before")).alias("negation"),
         intensity(F.col("h.before")).alias("intensity"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.data import stopwords as defaults
 from tessella.functions import text as tx
 from tessella.functions.bounds import bounded_broadcast, literal_table
+from tessella.functions.rows import unnest
 
 
 def stopword_table(spark: SparkSession, custom: DataFrame | None = None,
@@ -32,7 +33,7 @@ def word_language(term: Column) -> Column:
 
 
 def explode_terms(docs: DataFrame, keys: list[str], words: Column) -> DataFrame:
-    return docs.select(*keys, F.explode(words).alias("term"))
+    return unnest(docs, keys, words, "term")
 
 
 def drop_stopwords(terms: DataFrame, stop: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ times AS (SELECT doc_id, start, (start + length(text))::INTEGER AS "end", text,
 
 
 def _times(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(en.time_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return _rows(spark, d, en.time_spans(F.col("text")))
 
 
 @query("time_entities", f"WITH {DOCS}, {TIME} SELECT * FROM times")
@@ -62,7 +62,7 @@ def time_entities(spark, d):
 
 
 def _rows(spark, d, column):
-    return _docs(spark, d).select("doc_id", F.explode(column).alias("s")).select("doc_id", "s.*")
+    return en.span_rows(_docs(spark, d), "doc_id", column)
 
 
 @query("suffix_entities")

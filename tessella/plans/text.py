@@ -8,13 +8,13 @@ from tessella.functions import text as tx
 from tessella.operators import text as ops
 from tessella.plans import sqlparts as sp
 from tessella.plans.registry import query
-from tessella.sources.tables import table
+from tessella.sources.tables import spread, table
 
 R6 = 6
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _stop(spark):
