@@ -125,16 +125,16 @@ def fold(events: DataFrame, key: str, order: list[str], columns: list[str], step
     names = [f.split()[0] for f in schema.split(", ")]
     out_schema = f"{key} {kind}, {schema}, _state string"
 
-    def run(k, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    def run(k: object, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(before["_state"].iloc[0]) if len(before) else {}
         emitted, state = step(state, part.sort_values("_seq"))
         data = [(k, *r, None) for r in emitted] + [(k, *[None] * len(names), json.dumps(state))]
         return pd.DataFrame(data, columns=[key, *names, "_state"]).astype(object)
 
-    def first(k, part: pd.DataFrame) -> pd.DataFrame:
+    def first(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return run(k[0], part, part.iloc[:0].assign(_state=[]))
 
-    def later(k, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    def later(k: tuple, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         return run(k[0], part, before)
     emitted, state = None, None
     for i in range(max(1, math.ceil(longest / chunk))):

@@ -164,7 +164,16 @@ def network_summary(spark, d):
         "packets_lost", "peers")
 
 
-@query("bitrate_steps")
+RATES = """k AS (SELECT user_id, event_id, value * 3 AS rtt, event_id % 60 AS jitter, event_id % 13 AS lost,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, 64000::BIGINT AS rate FROM k
+UNION ALL SELECT user_id, n, event_id, CASE WHEN abs(wanted - rate) > 8000 THEN floor(wanted + 0.5)::BIGINT ELSE rate END
+FROM (SELECT f.user_id, k.n, k.event_id, rate, CASE WHEN rtt > 300 OR jitter > 50 OR lost > 10 THEN greatest(16000::DOUBLE, rate * 0.8::DOUBLE)
+    WHEN rtt < 100 AND jitter < 20 AND lost < 2 THEN least(128000::DOUBLE, rate * 1.2::DOUBLE) ELSE rate::DOUBLE END AS wanted
+  FROM f JOIN k ON k.user_id = f.user_id AND k.n = f.n + 1))"""
+
+
+@query("bitrate_steps", f"WITH RECURSIVE {RATES} SELECT user_id, event_id, rate AS bitrate FROM f WHERE n > 0")
 def bitrate_steps(spark, d):
     return rm.bitrate_steps(_stats(spark, d))
 
@@ -204,6 +213,13 @@ def _stream(spark, d):
                      F.concat(F.lit("user "), F.col("user_id")).alias("user_name"))
 
 
+@query("command_stream_source", f"WITH {EV} SELECT event_id, room, {TS.format('ts')} AS ts, command_type, layer_id FROM ev")
+def command_stream_source(spark, d):
+    path = _scratch(spark, "commands")
+    st.run_available(_stream(spark, d), path)
+    return spark.read.parquet(f"{path}/data").select("event_id", "room", _stamp("ts"), "command_type", "layer_id")
+
+
 @query("room_activity_stream", f"""WITH {EV}, w AS (SELECT room, command_type, time_bucket(INTERVAL 1 HOUR, ts) AS ws, count(*) AS commands FROM ev GROUP BY ALL)
 SELECT room, command_type, {TS.format("ws")} AS window_start, commands FROM w WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def room_activity_stream(spark, d):
