@@ -1,4 +1,4 @@
-"""Turning computed arrays into rows."""
+"""Evaluating computed values once: as a variable, or unnested into rows."""
 
 from __future__ import annotations
 
@@ -11,3 +11,8 @@ def unnest(df: DataFrame, keys: list[str], items: Column, name: str) -> DataFram
     filters on the array's size and nullness, and for an array that is computed
     rather than stored these compute it again; the outer form is free of that."""
     return df.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def bind(value: Column, use) -> Column:
+    """Evaluate an expression once and use it as a variable, also in lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.rows import bind
+
 SPAN = "array<struct<start:int,end:int,text:string,type:string,confidence:double>>"
 
 
@@ -23,18 +25,23 @@ def span(start: Column, text: Column, kind: Column, confidence: Column) -> Colum
 
 def matches(text: Column, pattern: Column | str) -> Column:
     """array<struct<start, text>> of a regular expression: the matches and the
-    gaps between them alternate, so running lengths give the offsets."""
+    gaps between them alternate, so running lengths give the offsets. A text
+    without a match is scanned once, any other twice."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, gaps = F.regexp_extract_all(text, p, 0), F.split(text, p, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"))
+    empty = F.expr("cast(array() as array<struct<start:int,text:string>>)")
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         return F.struct((start + F.length(pair["hit"])).alias("at"), F.array_append(
             acc["out"], F.struct(start.alias("start"), pair["hit"].alias("text"))).alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)),
-                       lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+
+    def located(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(F.split(text, p, -1), 1, F.size(found)),
+                           lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        return F.when(F.size(found) == 0, empty).otherwise(
+            F.aggregate(pairs, zero, step, lambda a: a["out"]))
+    return bind(F.regexp_extract_all(text, p, 0), located)
 
 
 def of_pattern(text: Column, pattern: str, kind: str, confidence: float) -> Column:

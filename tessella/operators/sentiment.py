@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.data import sentiment as sd
 from tessella.functions import text as tx
-from tessella.functions.rows import unnest
+from tessella.functions.rows import bind, unnest
 
 MAX_LEXICON = 20_000
 
@@ -35,11 +35,6 @@ def _table(lexicon: list[tuple[str, float]]) -> Column:
         f"struct({text(w)} AS word, {float(v)!r}D AS weight)" for w, v in lexicon) + ")")
 
 
-def bind(value: Column, use) -> Column:
-    """Evaluate an expression once and use it as a variable, also in lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _quoted(word: Column) -> Column:
     return F.concat(F.lit(r"\Q"), word, F.lit(r"\E"))
 

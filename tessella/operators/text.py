@@ -163,7 +163,7 @@ def wordcloud_weights(counts: DataFrame, max_words: int) -> DataFrame:
     top = (counts.groupBy("term").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), F.asc("term")).limit(max_words))
     return top.withColumn("weight", F.col("n") / F.max("n").over(
-        Window.partitionBy(F.lit(0))))
+        Window.partitionBy(F.lit(0))))  # at most max_words rows
 
 
 def corpus_overview(docs: DataFrame, text: str = "text") -> DataFrame:
