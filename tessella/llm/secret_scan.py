@@ -27,8 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import cut
-
 # The base patterns and the least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -41,6 +39,8 @@ KEY_WORDS = ("passw", "secret", "token", "key")
 """One of these is in every lower-cased text that ASSIGN matches."""
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile(r"[A-Za-z][^A-Za-z]*[0-9]|[0-9][^0-9]*[A-Za-z]")
+"""Random keys of this length hold letters and digits."""
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -49,10 +49,12 @@ SIZE = START + 1
 CODE = np.full(128, START, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(START)
 
-SMOOTHING = 0.5
-LEAST_RATIO = 12.0
+UNIFORM = (0.5, 0.1)
+"""Share of the uniform distribution in the random and in the ordinary model: keys
+use characters that the labelled ones may lack, words much less so."""
+LEAST_RATIO = 20.0
 """Nats by which the random model must lead over a whole candidate."""
-LEAST_PER_CHARACTER = 0.35
+LEAST_PER_CHARACTER = 0.8
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -108,11 +110,20 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     rows = (docs.select(docs[text].alias("_text")).mapInPandas(count, "side long, pair long, n long")
             .groupBy("side", "pair").agg(F.sum("n").alias("n")).collect())
-    counts = np.full((2, SIZE, SIZE), SMOOTHING)
+    counts = np.zeros((2, SIZE, SIZE))
     for side, pair, n in rows:
         counts[side, pair // SIZE, pair % SIZE] += n
+    return log_ratio(counts)
+
+
+def log_ratio(counts: np.ndarray) -> np.ndarray:
+    """Pair counts of both sides → log chance of a character after another one,
+    random less ordinary; after a character that a side never met, uniform."""
     counts = counts[:, :, :START]
-    chance = np.log(counts / counts.sum(axis=2, keepdims=True))
+    total = counts.sum(axis=2, keepdims=True)
+    met = np.divide(counts, total, out=np.full_like(counts, 1 / START), where=total > 0)
+    share = np.array(UNIFORM)[:, None, None]
+    chance = np.log((1 - share) * met + share / START)
     return chance[0] - chance[1]
 
 
@@ -123,7 +134,7 @@ def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, str]]
         a, b = m.span()
         if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
             continue  # a piece of a longer word in other letters
-        if any(x < b and a < y for x, y, _ in taken):
+        if any(x < b and a < y for x, y, _ in taken) or not MIXED.search(m.group()):
             continue
         codes = np.concatenate(([START], CODE[np.frombuffer(m.group().encode("ascii"), np.uint8)]))
         score = float(ratio[codes[:-1], codes[1:]].sum())
