@@ -14,12 +14,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tessella.llm import bpe, jaccard_join, line_dedup, mixing, secret_scan
+    from tessella.llm import bpe, jaccard_join, line_dedup, mixing, multiset, secret_scan
 
     return {
         "op1_secret_scan": lambda s, d: secret_scan.digest(secret_scan.scan(read(s, d, "documents"))),
         "op2_source_mix": lambda s, d: mixing.report(mixing.mix(read(s, d, "documents"))),
         "op6_line_dedup": lambda s, d: line_dedup.report(read(s, d, "documents")),
+        "op7_multiset_hash": lambda s, d: multiset.compare_edits(read(s, d, "documents")),
         "op8_ngram_jaccard": lambda s, d: jaccard_join.join(read(s, d, "documents")),
         "op5_byte_bpe": lambda s, d: bpe.digest(read(s, d, "documents")),
     }
