@@ -279,10 +279,11 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def digest(docs: DataFrame, text: str = "text", path: str = RANKS,
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text is encoded, and
-    the bytes hashed last are decoded from its ids."""
+           pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if wanted, ids: every text
+    is encoded, and the bytes hashed last are decoded from its ids."""
     source = _source(docs, text, ["doc_id"])
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
@@ -293,8 +294,9 @@ def digest(docs: DataFrame, text: str = "text", path: str = RANKS,
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(counts, pa.int64()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decimals]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                    *([lists(flat, counts, pa.int32())] if with_ids else [])], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                             + (", ids array<int>" if with_ids else ""))

@@ -182,6 +182,20 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     return source.mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 
+def known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has letters and a language scored `least` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, text, RUN_BYTES):
+                for at in range(0, part.num_rows, 512):
+                    some = part.slice(at, 512)
+                    lang, score = sent.value.predict(some.column(some.schema.get_field_index(text)))
+                    yield some.filter(pa.array([a != NONE and b >= least for a, b in zip(lang, score)], pa.bool_()))
+    return docs.mapInArrow(work, docs.schema)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     return predict(docs, fit(docs)).select(

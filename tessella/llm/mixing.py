@@ -31,6 +31,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 BUCKETS = 4096
+SEED = 7
+SMALL_PLAN = 10_000
+"""Sources up to which their plan, a row each, is broadcast."""
 
 
 def n_words(text: Column) -> Column:
@@ -73,38 +76,85 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if level != float("inf") else cap)
 
 
-def mix(docs: DataFrame, text: str = "text", seed: int = 7, share: float = SHARE,
-        max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, tie, size, source_size, target, whole, part): a document is
-    taken `whole` times and then for its first `part` words."""
-    slim = cut(docs.select("doc_id", "source", n_words(docs[text]).alias("size"),
-                           F.xxhash64(docs[text]).alias("tie")))
+def _order(seed: int, doc_id: Column, size: Column, tie: Column) -> Column:
+    """Where a document comes in the seeded order; rows equal in it are interchangeable."""
+    return F.struct(F.xxhash64(F.lit(seed), doc_id).alias("h"), doc_id.alias("id"), size.alias("size"), tie.alias("tie"))
+
+
+def plan(slim: DataFrame, seed: int, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
+         weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """A row per source: (source, source_size, target, whole, rest, cut, each): every
+    document is taken `whole` times, those before `cut` in the seeded order once
+    more, and those equal to it for their first `each` words. slim: (doc_id, source,
+    size, tie)."""
     sizes = slim.groupBy("source").agg(F.sum("size").alias("size"))
-    targets = cut(water_fill(weigh(sizes, weights), share, max_epochs)).select(
-        F.col("source").alias("_source"), F.col("size").alias("source_size"), "target")
-    rows = (slim.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id"))
-            .withColumn("_bucket", F.pmod(F.shiftright("_order", 40), F.lit(BUCKETS))))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
+    filled = water_fill(cut(weigh(sizes, weights)), share, max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = cut(filled.select("source", F.col("size").alias("source_size"), "target")
+                  .withColumn("whole", epochs)
+                  .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
+    named = targets.select(F.col("source").alias("_source"), "rest")
+    rows = slim.withColumn("_at", _order(seed, F.col("doc_id"), F.col("size"), F.col("tie"))).withColumn(
+        "_bucket", F.pmod(F.shiftright("_at.h", 40), F.lit(BUCKETS)))
     by_bucket = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-               .withColumn("_before", F.coalesce(F.sum("_words").over(by_bucket), F.lit(0)))
-               .join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-               .withColumn("whole", epochs.cast("long")).withColumn("_rest", rest)
-               .select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), "_words", "_before",
-                       "_rest", "source_size", "target", "whole"))
-    placed = rows.join(buckets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    placed = cut(placed.drop("_source", "_b"))
-    inside = (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest"))
-    out = ["doc_id", "source", "tie", "size", "source_size", "target", "whole"]
-    plain = placed.where(~inside).select(*out, F.when(F.col("_before") < F.col("_rest"), F.col("size"))
-                                         .otherwise(0).cast("long").alias("part"))
-    ahead = F.coalesce(F.sum("size").over(
-        Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size", "tie")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = placed.where(inside).withColumn("_left", F.col("_rest") - F.col("_before") - ahead).select(
-        *out, F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left"))).cast("long").alias("part"))
-    return plain.unionByName(last)
+    last = (rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+            .withColumn("_before", F.coalesce(F.sum("_words").over(by_bucket), F.lit(0)))
+            .join(named, F.col("source").eqNullSafe(F.col("_source")))
+            .where((F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("_words") > F.col("rest")))
+            .select("_source", F.col("_bucket").alias("_b"), (F.col("rest") - F.col("_before")).alias("_left")))
+    ahead = Window.partitionBy("source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (rows.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
+            .groupBy("source", "_at", "_left").agg(F.count("*").alias("_k"))
+            .withColumn("_words", F.col("_k") * F.col("_at.size"))
+            .withColumn("_ahead", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
+            .where((F.col("_ahead") <= F.col("_left")) & (F.col("_ahead") + F.col("_words") > F.col("_left")))
+            .select(F.col("source").alias("_source"), F.col("_at").alias("cut"),
+                    F.floor((F.col("_left") - F.col("_ahead")) / F.col("_k")).cast("long").alias("each")))
+    return cut(targets.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+
+
+def planned(docs: DataFrame, plans: DataFrame, size: Column, tie: Column, seed: int) -> DataFrame:
+    """docs with _size, _plan (its source's row) and _part, the words of the last,
+    partial repetition. A document is found by its place in the order, so only the
+    plan is sent around: broadcast when counted to be small, else joined."""
+    sources = plans.select(F.struct(*plans.columns).alias("_plan"))
+    if plans.count() <= SMALL_PLAN:
+        sources = F.broadcast(sources)
+    joined = docs.join(sources, docs["source"].eqNullSafe(F.col("_plan.source"))).withColumn("_size", size)
+    at = _order(seed, docs["doc_id"], F.col("_size"), tie)
+    all_of_it = F.col("_plan.rest") >= F.col("_plan.source_size")
+    part = (F.when(all_of_it, F.col("_size")).when(F.col("_plan.cut").isNull(), F.lit(0))
+            .when(at < F.col("_plan.cut"), F.col("_size")).when(at == F.col("_plan.cut"), F.col("_plan.each")).otherwise(0))
+    return joined.withColumn("_part", part.cast("long"))
+
+
+def slim_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    return cut(docs.select("doc_id", "source", n_words(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("tie")))
+
+
+def mix(docs: DataFrame, text: str = "text", seed: int = SEED, share: float = SHARE,
+        max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, whole, part): a document is taken
+    `whole` times and then for its first `part` words."""
+    slim = slim_rows(docs, text)
+    plans = plan(slim, seed, share, max_epochs, weights)
+    return planned(slim, plans, slim["size"], slim["tie"], seed).select(
+        "doc_id", "source", "size", "_plan.source_size", "_plan.target", "_plan.whole", F.col("_part").alias("part"))
+
+
+def repeat(docs: DataFrame, text: str = "text", seed: int = SEED, share: float = SHARE,
+           max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: docs with every row as often as it is taken; the row of a
+    partial repetition holds the first words of its text."""
+    plans = plan(slim_rows(docs, text), seed, share, max_epochs, weights)
+    rows = planned(docs, plans, n_words(docs[text]), F.xxhash64(docs[text]), seed)
+    takes = F.concat(F.array_repeat(F.col("_size"), F.when(F.col("_size") > 0, F.col("_plan.whole")).otherwise(0).cast("int")),
+                     F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.expr("cast(array() as array<bigint>)")))
+    rows = rows.withColumn("_take", F.explode(takes))
+    first = F.array_join(F.slice(F.regexp_extract_all(docs[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1,
+                                 F.col("_take").cast("int")), "")
+    return rows.select(*[F.when(F.col("_take") < F.col("_size"), first).otherwise(docs[c]).alias(c) if c == text
+                         else docs[c] for c in docs.columns])
 
 
 def report(mixed: DataFrame) -> DataFrame:
