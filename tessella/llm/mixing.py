@@ -30,7 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
-BUCKETS = 4096
+BUCKET_BITS = 12
+"""Leading bits of the order that name a bucket, so that buckets are ordered alike."""
 SEED = 7
 SMALL_PLAN = 10_000
 """Sources up to which their plan, a row each, is broadcast."""
@@ -95,7 +96,7 @@ def plan(slim: DataFrame, seed: int, share: float = SHARE, max_epochs: float = M
                   .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
     named = targets.select(F.col("source").alias("_source"), "rest")
     rows = slim.withColumn("_at", _order(seed, F.col("doc_id"), F.col("size"), F.col("tie"))).withColumn(
-        "_bucket", F.pmod(F.shiftright("_at.h", 40), F.lit(BUCKETS)))
+        "_bucket", F.shiftright("_at.h", 64 - BUCKET_BITS))
     by_bucket = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = (rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
             .withColumn("_before", F.coalesce(F.sum("_words").over(by_bucket), F.lit(0)))
