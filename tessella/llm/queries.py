@@ -14,7 +14,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tessella.llm import bpe, jaccard_join, lang_kernel, line_dedup, mixing, multiset, pseudonyms, secret_scan, vector_join
+    from tessella.llm import bpe, html_text, jaccard_join, lang_kernel, line_dedup, mixing, multiset, pseudonyms, secret_scan, vector_join
 
     return {
         "op1_secret_scan": lambda s, d: secret_scan.digest(secret_scan.scan(read(s, d, "documents"))),
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op7_multiset_hash": lambda s, d: multiset.compare_edits(read(s, d, "documents")),
         "op8_ngram_jaccard": lambda s, d: jaccard_join.join(read(s, d, "documents")),
         "op3_pii_pseudonyms": lambda s, d: pseudonyms.report(read(s, d, "documents")),
+        "op4_html_text": lambda s, d: html_text.extract(read(s, d, "pages")),
         "op5_byte_bpe": lambda s, d: bpe.digest(read(s, d, "documents")),
         "op9_embedding_dedup": lambda s, d: vector_join.join(read(s, d, "embeddings")),
         "op10_language_id": lambda s, d: lang_kernel.report(read(s, d, "documents")),
