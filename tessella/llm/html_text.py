@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>", re.S)
 NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Elements of HTML by kind.
@@ -187,8 +187,13 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         sum_ += score
         if sum_ > best:
             best, stretch = sum_, (start, len(runs))
+    first, last = stretch  # a block that the stretch cuts is taken whole
+    while 0 < first < last and (runs[first - 1][1] or runs[first - 1][0].lstrip("/") not in BLOCK):
+        first -= 1
+    while first < last < len(runs) and (runs[last][1] or runs[last][0].lstrip("/") not in BLOCK):
+        last += 1
     blocks: list[list[str]] = [[]]
-    for text, is_text, aside in runs[slice(*stretch)]:
+    for text, is_text, aside in runs[first:last]:
         if is_text:
             if not aside:
                 blocks[-1].append(text)

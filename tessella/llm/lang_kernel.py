@@ -121,10 +121,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Trains on documents outside fold 0. What comes to the driver are the n-grams of
     the sampled rows, of which there are at most per_language a label."""
+    spark = docs.sparkSession
+    usable = docs.where(docs[lang].isNotNull() & (fold_of(docs["doc_id"]) != 0) & docs[text].rlike(r"\p{L}")).select(
+        docs[lang].alias("_lang"), docs["doc_id"].alias("_id"), F.xxhash64(docs["doc_id"]).alias("_h"))
+    # Of a label with many rows, only hashes low enough for about four times as many as wanted are ranked.
+    counts = usable.groupBy("_lang").count().collect()
+    low = [(r[0], min((1 << 63) - 1, (1 << 66) * per_language // r[1] - (1 << 63))) for r in counts]
+    low = F.broadcast(spark.createDataFrame(low, "_lang1 string, _low long"))  # a row per label
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = (docs.where(docs[lang].isNotNull() & (fold_of(docs["doc_id"]) != 0) & docs[text].rlike(r"\p{L}"))
-              .select(docs[lang].alias("_lang"), docs["doc_id"].alias("_id"), F.xxhash64(docs["doc_id"]).alias("_h"))
-              .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language))
+    chosen = (usable.join(low, (F.col("_lang") == F.col("_lang1")) & (F.col("_h") <= F.col("_low")))
+              .select("_lang", "_id", F.row_number().over(order).alias("_rank")).where(F.col("_rank") <= per_language))
     rows = docs.select("doc_id", docs[lang].alias("_lang2"), docs[text].alias("_text")).join(
         F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("_lang2") == F.col("_lang")))  # bounded rows
     source = rows.select("_lang", "_rank", "_text")

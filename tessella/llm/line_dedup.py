@@ -111,8 +111,9 @@ def duplicate_lines(docs: DataFrame, text: str = "text", least_words: int = LEAS
                         F.transform("_l", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")))
     each = (lines.select("doc", F.explode(F.arrays_zip("hashes", "words")).alias("_z"))
             .where(F.col("_z.words") >= least_words).select("doc", F.col("_z.hashes").alias("line")))
-    first = (each.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"),
-                                      F.count("*").alias("df")).where("first < _last").drop("_last"))
+    # Written on its own: a join of two shuffled sides can be split where a line is frequent.
+    first = cut(each.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"),
+                                         F.count("*").alias("df")).where("first < _last").drop("_last"))
     pairs = (each.join(first, "line").where(F.col("doc") != F.col("first"))
              .groupBy("doc", "first").agg(F.min("df").alias("rarest")))
     sequences = lines.groupBy("doc").agg(F.first(F.struct("hashes", "words")).alias("_s"))
@@ -135,13 +136,16 @@ def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, c
     """docs with the aligned lines gone from `text`; `count` names a column for how
     many went."""
     places = duplicate_lines(docs, text, least_words).select(
-        F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("places").alias("_places"))
-    did = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    joined = docs.join(places, (did == F.col("_did")) & (F.xxhash64(docs[text]) == F.col("_tid")), "left")
-    kept = F.array_join(F.filter(_lines(docs[text]), lambda _, k: ~F.array_contains("_places", k)), "\n")
-    columns = [F.when(F.col("_places").isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c]
+        F.col("did").alias("_did"), F.col("tid").alias("_tid"), "places")
+    own = F.col("doc").getField(text)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                       F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("did"),
+                       F.xxhash64(docs[text]).alias("tid"))
+    joined = rows.join(places, (F.col("did") == F.col("_did")) & (F.col("tid") == F.col("_tid")), "left")
+    kept = F.array_join(F.filter(_lines(own), lambda _, k: ~F.array_contains("places", k)), "\n")
+    columns = [(F.when(F.col("places").isNull(), own).otherwise(kept) if c == text else F.col("doc").getField(c)).alias(c)
                for c in docs.columns]
-    gone = [F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias(count)] if count else []
+    gone = [F.coalesce(F.size("places"), F.lit(0)).cast("long").alias(count)] if count else []
     return joined.select(*columns, *gone)
 
 

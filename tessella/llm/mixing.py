@@ -114,19 +114,19 @@ def plan(slim: DataFrame, seed: int, share: float = SHARE, max_epochs: float = M
     return cut(targets.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
 
 
-def planned(docs: DataFrame, plans: DataFrame, size: Column, tie: Column, seed: int) -> DataFrame:
-    """docs with _size, _plan (its source's row) and _part, the words of the last,
-    partial repetition. A document is found by its place in the order, so only the
-    plan is sent around: broadcast when counted to be small, else joined."""
+def planned(rows: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, source, size, tie and others) with _plan, the row of their source,
+    and part, the words of the last, partial repetition. A document is found by its
+    place in the order, so only the plan is sent around: broadcast when counted to be
+    small, else joined."""
     sources = plans.select(F.struct(*plans.columns).alias("_plan"))
     if plans.count() <= SMALL_PLAN:
         sources = F.broadcast(sources)
-    joined = docs.join(sources, docs["source"].eqNullSafe(F.col("_plan.source"))).withColumn("_size", size)
-    at = _order(seed, docs["doc_id"], F.col("_size"), tie)
-    all_of_it = F.col("_plan.rest") >= F.col("_plan.source_size")
-    part = (F.when(all_of_it, F.col("_size")).when(F.col("_plan.cut").isNull(), F.lit(0))
-            .when(at < F.col("_plan.cut"), F.col("_size")).when(at == F.col("_plan.cut"), F.col("_plan.each")).otherwise(0))
-    return joined.withColumn("_part", part.cast("long"))
+    at = _order(seed, F.col("doc_id"), F.col("size"), F.col("tie"))
+    part = (F.when(F.col("_plan.rest") >= F.col("_plan.source_size"), F.col("size"))
+            .when(F.col("_plan.cut").isNull(), F.lit(0)).when(at < F.col("_plan.cut"), F.col("size"))
+            .when(at == F.col("_plan.cut"), F.col("_plan.each")).otherwise(0))
+    return rows.join(sources, F.col("source").eqNullSafe(F.col("_plan.source"))).withColumn("part", part.cast("long"))
 
 
 def slim_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -139,8 +139,8 @@ def mix(docs: DataFrame, text: str = "text", seed: int = SEED, share: float = SH
     `whole` times and then for its first `part` words."""
     slim = slim_rows(docs, text)
     plans = plan(slim, seed, share, max_epochs, weights)
-    return planned(slim, plans, slim["size"], slim["tie"], seed).select(
-        "doc_id", "source", "size", "_plan.source_size", "_plan.target", "_plan.whole", F.col("_part").alias("part"))
+    return planned(slim, plans, seed).select(
+        "doc_id", "source", "size", "_plan.source_size", "_plan.target", "_plan.whole", "part")
 
 
 def repeat(docs: DataFrame, text: str = "text", seed: int = SEED, share: float = SHARE,
@@ -148,14 +148,16 @@ def repeat(docs: DataFrame, text: str = "text", seed: int = SEED, share: float =
     """The mix itself: docs with every row as often as it is taken; the row of a
     partial repetition holds the first words of its text."""
     plans = plan(slim_rows(docs, text), seed, share, max_epochs, weights)
-    rows = planned(docs, plans, n_words(docs[text]), F.xxhash64(docs[text]), seed)
-    takes = F.concat(F.array_repeat(F.col("_size"), F.when(F.col("_size") > 0, F.col("_plan.whole")).otherwise(0).cast("int")),
-                     F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = rows.withColumn("_take", F.explode(takes))
-    first = F.array_join(F.slice(F.regexp_extract_all(docs[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1,
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "doc_id", "source",
+                       n_words(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("tie"))
+    takes = F.concat(F.array_repeat(F.col("size"), F.when(F.col("size") > 0, F.col("_plan.whole")).otherwise(0).cast("int")),
+                     F.when(F.col("part") > 0, F.array("part")).otherwise(F.expr("cast(array() as array<bigint>)")))
+    rows = planned(rows, plans, seed).select("_doc", "size", F.explode(takes).alias("_take"))
+    own = F.col("_doc").getField(text)
+    first = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1,
                                  F.col("_take").cast("int")), "")
-    return rows.select(*[F.when(F.col("_take") < F.col("_size"), first).otherwise(docs[c]).alias(c) if c == text
-                         else docs[c] for c in docs.columns])
+    return rows.select(*[(F.when(F.col("_take") < F.col("size"), first).otherwise(own) if c == text
+                          else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def report(mixed: DataFrame) -> DataFrame:
