@@ -31,7 +31,6 @@ NAMING = [
 ]
 TEST_HINTS = ["test", "tests", "spec", "specs", "__tests__", "unittest"]
 DOC_HINTS = ["readme", "license", "changelog", "todo", "contributing"]
-BUILD_HINTS = ["dockerfile", "makefile", ".env"]
 
 IGNORED = [r"\.git", "node_modules", "__pycache__", r"\.venv", "venv", r"\.idea", r"\.vscode",
            "dist", "build", "target", r"\.pyc$"]

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from tessella.data import entities as ed
 from tessella.functions import spans as sp
 from tessella.functions import text as tx
-from tessella.functions.bounds import bounded_broadcast
 from tessella.functions.rows import unnest
 
-MAX_NAMES = 5_000
 HAS_CJK = r"[\x{4e00}-\x{9fa5}]"
 
 
 def name_array(names: list[tuple[str, str, float]]) -> Column:
+    if not names:
+        return F.expr("cast(array() as array<struct<name:string,type:string,confidence:double>>)")
+
     def text(w: str) -> str:
         return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return F.expr("array(" + ", ".join(
@@ -32,22 +33,18 @@ def span_rows(docs: DataFrame, key: str, spans: Column) -> DataFrame:
 
 
 def gazetteer_spans(text: Column, names=None) -> Column:
-    return sp.of_names(text, name_array(names or ed.GAZETTEER))
+    return sp.of_names(text, name_array(ed.GAZETTEER if names is None else names))
 
 
 def gazetteer_entities(docs: DataFrame, key: str, gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """(key, start, end, text, type, confidence) for a (name, type, confidence)
-    table. Up to MAX_NAMES names are searched inside each text; a larger table
-    is joined on the character n-grams of its name lengths."""
-    rows = gazetteer.select("name", "type", "confidence").limit(MAX_NAMES + 1).collect()
-    if len(rows) <= MAX_NAMES:
-        spans = gazetteer_spans(F.col(text), [tuple(r) for r in rows])
-        return span_rows(docs, key, spans)
+    table of any size, which is joined on the character n-grams of its names."""
     return gazetteer_join(docs, key, gazetteer, text)
 
 
 def gazetteer_join(docs: DataFrame, key: str, gazetteer: DataFrame, text: str = "text") -> DataFrame:
-    """The same by equi-join on n-grams, for tables of any size."""
+    """The same, written out: grams of the lengths that names have, of which there are
+    few, are cut where a name could start, and joined with the names."""
     lengths = sorted(r[0] for r in gazetteer.select(F.length("name")).distinct().collect())
     chars = docs.select(key, F.split(text, "").alias("chars"))
 
@@ -57,8 +54,8 @@ def gazetteer_join(docs: DataFrame, key: str, gazetteer: DataFrame, text: str =
             i.alias("start"), F.array_join(F.slice("chars", i + 1, n), "").alias("name"))))
     empty = F.expr("cast(array() as array<struct<start:int,name:string>>)")
     exploded = unnest(chars, [key], F.concat(
-        *[F.coalesce(grams(n), empty) for n in lengths]), "g").select(key, "g.*")
-    hit = exploded.join(bounded_broadcast(gazetteer.select("name", "type", "confidence")), "name")
+        empty, *[F.coalesce(grams(n), empty) for n in lengths]), "g").select(key, "g.*")
+    hit = exploded.join(gazetteer.select("name", "type", "confidence").distinct(), "name")
     return hit.select(key, "start", (F.col("start") + F.length("name")).alias("end"),
                       F.col("name").alias("text"), "type", "confidence")
 

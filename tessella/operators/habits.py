@@ -25,11 +25,11 @@ def half_up(value: Column) -> Column:
 
 
 def one_per_day(checkins: DataFrame) -> DataFrame:
-    """First check-in of a (habit, date) wins; combines map-side."""
-    return checkins.groupBy("habit_id", "user_id", "date").agg(
-        F.min_by("checkin_id", "created_at").alias("checkin_id"),
-        F.min_by("type", "created_at").alias("type"),
-        F.min("created_at").alias("created_at"))
+    """First check-in of a (habit, date) wins, of equal times the smaller id;
+    combines map-side."""
+    first = F.min(F.struct("created_at", "checkin_id", "type")).alias("_f")
+    return checkins.groupBy("habit_id", "user_id", "date").agg(first).select(
+        "habit_id", "user_id", "date", "_f.checkin_id", "_f.type", "_f.created_at")
 
 
 def retract(days: DataFrame, removed: DataFrame) -> DataFrame:

@@ -4,16 +4,19 @@ A plain window over a key sorts all rows of that key in one task. Here every
 key is cut into buckets of a coarse, monotone column (an hour, a block of
 version numbers): the window only ever sees one bucket, and what a bucket needs
 from earlier ones (row count, last row, running sum) comes from a table with
-one row per bucket. The result equals the plain window.
+one row per bucket. The result equals the plain window, also for NULL keys and
+NULL times, which form a key and a first bucket of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _buckets(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+def _buckets(df: DataFrame, bucket: Column) -> DataFrame:
     return df.withColumn("_b", bucket)
 
 
@@ -22,35 +25,43 @@ def _before(keys: list[str]):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
+def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows beside the row of their bucket; NULL equals NULL."""
+    names = [*keys, "_b"]
+    other = table.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(names)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])
+    return rows.join(other, same).drop(*[f"_k{i}" for i in range(len(names))])
+
+
 def sequence_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                     name: str = "seq") -> DataFrame:
     """1, 2, 3 … per key in the given order."""
-    rows = _buckets(df, keys, bucket)
+    rows = _buckets(df, bucket)
     offsets = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return (rows.withColumn("_r", local).join(offsets, [*keys, "_b"])
+    return (_with(rows.withColumn("_r", local), offsets, keys)
             .withColumn(name, (F.col("_r") + F.col("_off")).cast("long"))
             .drop("_b", "_r", "_off"))
 
 
 def running_sum_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                        value: Column, name: str) -> DataFrame:
-    rows = _buckets(df, keys, bucket).withColumn("_v", value)
+    rows = _buckets(df, bucket).withColumn("_v", value)
     offsets = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
     local = F.sum("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order)
                              .rowsBetween(Window.unboundedPreceding, 0))
-    return (rows.withColumn("_r", local).join(offsets, [*keys, "_b"])
+    return (_with(rows.withColumn("_r", local), offsets, keys)
             .withColumn(name, F.col("_r") + F.col("_off")).drop("_b", "_v", "_r", "_off"))
 
 
 def previous_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                     columns: list[str], name: str = "prev") -> DataFrame:
     """Struct of the given columns of the row before, NULL for the first."""
-    rows = _buckets(df, keys, bucket).withColumn("_s", F.struct(*columns))
+    rows = _buckets(df, bucket).withColumn("_s", F.struct(*columns))
     tails = rows.groupBy(*keys, "_b").agg(F.max_by("_s", F.struct(*order)).alias("_t")).withColumn(
         "_t", F.lag("_t").over(Window.partitionBy(*keys).orderBy("_b")))
     local = F.lag("_s").over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return (rows.withColumn("_p", local).join(tails, [*keys, "_b"])
+    return (_with(rows.withColumn("_p", local), tails, keys)
             .withColumn(name, F.coalesce("_p", "_t")).drop("_b", "_s", "_p", "_t"))

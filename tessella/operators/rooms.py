@@ -147,6 +147,14 @@ def fold(events: DataFrame, key: str, order: list[str], columns: list[str], step
     return emitted, state.withColumnRenamed("_state", "state")
 
 
+def _plain(value):
+    """A cell as JSON holds it: NULL, also as NaN, is None, and a whole float an int."""
+    if pd.isna(value):
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
 def undo_step(state: dict, part: pd.DataFrame):
     """Stacks of event ids: a draw clears redo, undo and redo move one id."""
     done, undone = state.get("done", []), state.get("undone", [])
@@ -194,7 +202,8 @@ def voice_step(state: dict, part: pd.DataFrame):
     muted = dict(state.get("muted", []))
     for event, user, kind, target, flag in zip(part["event_id"], part["user_id"], part["kind"],
                                                part["target_id"], part["flag"]):
-        user, target, flag, result = int(user), int(target), bool(flag), "ok"
+        user, flag, result = _plain(user), bool(_plain(flag)), "ok"
+        target = user if _plain(target) is None else _plain(target)
         if kind == "join":
             if len(members) >= MAX_SPEAKERS:
                 result = "full"
@@ -223,18 +232,20 @@ def voice_step(state: dict, part: pd.DataFrame):
                 muted[target] = flag
         elif kind == "mute" and user in members:
             muted[user] = flag
-        out.append((int(event), result, admin, len(members), sum(muted.values())))
+        out.append((_plain(event), result, admin, len(members), sum(muted.values())))
     return out, {"members": members, "admin": admin, "muted": list(muted.items())}
 
 
 def voice_log(events: DataFrame, chunk: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Per event its outcome, the administrator, members and muted members; and
-    the final (room, user_id, muted) of those still present."""
+    the final (room, user_id, muted) of those still present. User ids may be of any
+    simple type; without a target one means oneself."""
+    who = dict(events.dtypes)["user_id"]
     log, state = fold(events, "room", ["ts", "event_id"], ["event_id", "user_id", "kind", "target_id", "flag"],
-                      voice_step, "event_id long, outcome string, admin_id long, members long, muted long", chunk)
+                      voice_step, f"event_id long, outcome string, admin_id {who}, members long, muted long", chunk)
     pairs = F.from_json("state", "muted array<array<string>>")["muted"]
     final = state.select("room", F.explode(pairs).alias("p")).select(
-        "room", F.col("p")[0].cast("long").alias("user_id"), (F.col("p")[1] == "true").alias("muted"))
+        "room", F.col("p")[0].cast(who).alias("user_id"), (F.col("p")[1] == "true").alias("muted"))
     return log, final
 
 
@@ -261,7 +272,7 @@ def layer_step(state: dict, part: pd.DataFrame):
     """Ordered layers with visibility; one to MAX_LAYERS of them."""
     layers, current, out = state.get("layers", [["base", True]]), state.get("current", "base"), []
     for event, kind, layer, n in zip(part["event_id"], part["kind"], part["layer_id"], part["n"]):
-        ids, n = [x[0] for x in layers], int(n)
+        ids, n = [x[0] for x in layers], _plain(n)
         if kind == "add" and len(layers) < MAX_LAYERS and layer not in ids:
             layers.append([layer, True])
             current = layer
@@ -269,14 +280,14 @@ def layer_step(state: dict, part: pd.DataFrame):
             i = ids.index(layer)
             layers.pop(i)
             current = layers[max(0, i - 1)][0] if current == layer else current
-        elif kind == "toggle" and layer in ids:
+        elif kind == "toggle" and layer in ids and n is not None:
             layers[ids.index(layer)][1] = n % 2 == 0
-        elif kind == "move" and layer in ids and n < len(layers):
+        elif kind == "move" and layer in ids and n is not None and 0 <= n < len(layers):
             layers.insert(n, layers.pop(ids.index(layer)))
         elif kind == "select" and layer in ids:
             current = layer
         shown = ",".join(f"{x}{'+' if v else '-'}" for x, v in layers)
-        out.append((int(event), shown, current))
+        out.append((_plain(event), shown, current))
     return out, {"layers": layers, "current": current}
 
 

@@ -15,20 +15,13 @@ from tessella.data import sentiment as sd
 from tessella.functions import text as tx
 from tessella.functions.rows import bind, unnest
 
-MAX_LEXICON = 20_000
-
-
-def lexicon_rows(df: DataFrame) -> list[tuple[str, float]]:
-    """A (word, weight) table as configuration, behind a size check."""
-    rows = df.select("word", "weight").limit(MAX_LEXICON + 1).collect()
-    if len(rows) > MAX_LEXICON:
-        raise ValueError(f"lexicon larger than {MAX_LEXICON} words")
-    return [(r[0], float(r[1])) for r in rows]
-
 
 def _table(lexicon: list[tuple[str, float]]) -> Column:
     """A literal array<struct<word, weight>>; written as one SQL literal because
     building it column by column costs more than scoring a corpus."""
+    if not lexicon:
+        return F.expr("cast(array() as array<struct<word:string,weight:double>>)")
+
     def text(w: str) -> str:
         return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return F.expr("array(" + ", ".join(
@@ -94,7 +87,7 @@ def _weighted(found: Column) -> Column:
 
 
 def lexicon_score(text: Column, language: Column, lexicon=None) -> Column:
-    lexicon = lexicon or sd.LEXICON
+    lexicon = sd.LEXICON if lexicon is None else lexicon
     negated = [(n + w, -1.2 * v) for w, v in lexicon if v > 0 for n in sd.NEGATED_POSITIVE]
     plain = F.flatten(F.transform(_contained(text, negated), lambda w: F.array_repeat(
         w["weight"], F.regexp_count(text, _quoted(w["word"])))))
@@ -121,7 +114,7 @@ def pattern_score(text: Column, language: Column) -> Column:
 
 def emoji_score(text: Column, table=None) -> Column:
     score, n = F.lit(0.0), F.lit(0)
-    for sign, value in table or sd.EMOJI:
+    for sign, value in (sd.EMOJI if table is None else table):
         times = (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))) / len(sign)
         score, n = score + times * value, n + times
     return F.when(n > 0, score / n).otherwise(0.0)
@@ -129,7 +122,7 @@ def emoji_score(text: Column, table=None) -> Column:
 
 def sentence_score(text: Column, language: Column, lexicon=None) -> Column:
     """Mean per sentence over the first hit of each word, then over sentences."""
-    lexicon = lexicon or sd.LEXICON
+    lexicon = sd.LEXICON if lexicon is None else lexicon
     window = sd.WINDOW["chinese"]
 
     def zh(s: Column) -> Column:
@@ -200,7 +193,7 @@ def distribution(scored: DataFrame) -> DataFrame:
 def lexicon_matches(docs: DataFrame, key: str, lexicon=None, text: str = "text") -> DataFrame:
     """(key, word, weight, position) of every non-overlapping hit. Positions are
     running lengths of the pieces between hits of one word in one text."""
-    lexicon = lexicon or sd.LEXICON
+    lexicon = sd.LEXICON if lexicon is None else lexicon
     words = unnest(docs, [key, text], _contained(F.col(text), lexicon), "w")
     pieces = words.select(key, "w.word", "w.weight", F.posexplode(
         F.split(F.col(text), _quoted(F.col("w.word")), -1)).alias("i", "piece"))
@@ -214,7 +207,7 @@ def lexicon_matches(docs: DataFrame, key: str, lexicon=None, text: str = "text")
 def context_factors(docs: DataFrame, key: str, lexicon=None, text: str = "text",
                     window: int = 5) -> DataFrame:
     """(key, word, before, negation, intensity), one row per hit."""
-    lexicon = lexicon or sd.LEXICON
+    lexicon = sd.LEXICON if lexicon is None else lexicon
     found = bind(F.lower(text), lambda t: hits(t, _lower(lexicon), window))
     return unnest(docs, [key], found, "h").select(
         key, "h.word", "h.before", negation(F.col("h.before")).alias("negation"),

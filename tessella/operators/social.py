@@ -19,9 +19,10 @@ def badge_table(spark: SparkSession) -> DataFrame:
 
 
 def likes(like_events: DataFrame) -> DataFrame:
-    """Who likes what now: the last of like and unlike per (post, user)."""
+    """Who likes what now: the last of like and unlike per (post, user); of equal
+    times the larger value, hence the like."""
     return (like_events.groupBy("post_id", "user_id")
-            .agg(F.max_by("liked", "ts").alias("liked")).where("liked")
+            .agg(F.max(F.struct("ts", "liked"))["liked"].alias("liked")).where("liked")
             .select("post_id", "user_id"))
 
 
@@ -46,8 +47,8 @@ def drop_posts(comments: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def friends(friend_events: DataFrame) -> DataFrame:
-    """Latest status per pair; removed pairs are gone."""
-    last = friend_events.groupBy("user_id", "friend_id").agg(F.max_by("status", "ts").alias("status"))
+    """Latest status per pair, of equal times the last in order; removed pairs are gone."""
+    last = friend_events.groupBy("user_id", "friend_id").agg(F.max(F.struct("ts", "status"))["status"].alias("status"))
     return last.where(F.col("status") != "removed")
 
 

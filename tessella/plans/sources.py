@@ -32,7 +32,6 @@ def folder_inventory(spark, d):
 
 @query("decode_with_fallback", """SELECT doc_id, md5(regexp_replace(text, '[^ -~]', '', 'g') || '北京') AS decoded FROM documents""")
 def decode_with_fallback(spark, d):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     clean = F.concat(F.regexp_replace("text", "[^ -~]", ""), F.lit("北京"))
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode(clean, "UTF-8")).otherwise(F.encode(clean, "GBK"))
     return table(spark, d, "documents").select("doc_id", F.md5(files.decode_with_fallback(raw)).alias("decoded"))

@@ -16,6 +16,22 @@ DEFAULTS = {
 }
 
 
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.legacy.javaCharsets": "true",  # reads GBK where UTF-8 fails
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+"""Settings the queries rely on. The operators only read them."""
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Gives a session these settings; for whoever runs the registered queries."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "8", app: str = "tessella", shuffle: int = 8,
                   memory: str = "8g", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
@@ -27,7 +43,7 @@ def local_session(cores: str = "8", app: str = "tessella", shuffle: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

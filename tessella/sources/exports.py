@@ -49,8 +49,9 @@ def append_history(records: DataFrame, path: str) -> None:
 
 
 def upsert_documents(existing: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per path, the latest `updated_at` wins."""
+    """One row per path, the latest `updated_at` wins; of equal times a change wins over
+    what exists, and the larger row over a smaller one."""
     fields = [c for c in existing.columns if c != "path"]
-    both = existing.unionByName(changes)
-    last = both.groupBy("path").agg(F.max_by(F.struct(*fields), "updated_at").alias("r"))
-    return last.select("path", "r.*")
+    both = existing.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    last = both.groupBy("path").agg(F.max(F.struct("updated_at", "_new", F.struct(*fields).alias("r"))).alias("m"))
+    return last.select("path", "m.r.*")

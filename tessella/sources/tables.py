@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table; zone-less timestamps become UTC instants so that
     watermarks and session functions accept them."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{root}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def event_source(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet") -> DataFrame:
     """New Parquet files of a folder; on a cluster the same schema from Kafka."""
@@ -41,7 +39,6 @@ class Numbering(StatefulProcessor):
 
 
 def numbered(commands: DataFrame) -> DataFrame:
-    commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return commands.groupBy("room").transformWithStateInPandas(
         Numbering(), "room long, event_id long, sequence long", "Append", "none")
 
