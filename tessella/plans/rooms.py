@@ -129,17 +129,37 @@ def _voice(spark, d):
         "flag": F.col("event_id") % 3 != 0})
 
 
-@query("voice_admin")
+TALK = f"""k AS (SELECT user_id % 10 AS room, user_id, event_id, {CASE.format(*[f"'{x}'" for x in VOICE])} AS kind,
+  CASE WHEN event_id % 2 = 0 THEN user_id ELSE (user_id + 10) % 150 END AS target, event_id % 3 <> 0 AS flag,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT DISTINCT room, 0::BIGINT AS n, 0::BIGINT AS event_id, []::BIGINT[] AS m, NULL::BIGINT AS admin, []::BIGINT[] AS quiet, 'ok' AS outcome FROM k
+UNION ALL SELECT f.room, k.n, k.event_id,
+  CASE WHEN kind = 'join' AND len(m) < 10 AND NOT list_contains(m, user_id) THEN list_append(m, user_id)
+    WHEN kind = 'leave' THEN list_filter(m, lambda x: x <> user_id) ELSE m END,
+  CASE WHEN kind = 'join' AND len(m) < 10 THEN coalesce(admin, user_id)
+    WHEN kind = 'leave' AND user_id = admin THEN list_filter(m, lambda x: x <> user_id)[1] ELSE admin END,
+  CASE WHEN kind = 'leave' OR kind = 'join' AND len(m) < 10 THEN list_filter(quiet, lambda x: x <> user_id)
+    WHEN kind = 'mute_all' AND user_id = admin THEN list_concat(list_filter(quiet, lambda x: x = user_id), CASE WHEN flag THEN list_filter(m, lambda x: x <> user_id) ELSE [] END)
+    WHEN kind = 'mute' AND list_contains(m, target) AND (user_id = admin OR target = user_id) THEN
+      list_concat(list_filter(quiet, lambda x: x <> target), CASE WHEN flag THEN [target] ELSE [] END) ELSE quiet END,
+  CASE WHEN kind = 'join' AND len(m) >= 10 THEN 'full' WHEN kind IN ('join', 'leave') THEN 'ok' WHEN len(m) = 0 THEN 'no session'
+    WHEN user_id IS DISTINCT FROM admin AND (kind = 'mute_all' OR target <> user_id) THEN 'not admin'
+    WHEN kind = 'mute' AND target <> user_id AND NOT list_contains(m, target) THEN 'no target' ELSE 'ok' END
+FROM f JOIN k ON k.room = f.room AND k.n = f.n + 1)"""
+
+
+@query("voice_admin", f"WITH RECURSIVE {TALK} SELECT room, event_id, admin AS admin_id, len(m) AS members FROM f WHERE n > 0")
 def voice_admin(spark, d):
     return rm.voice_log(_voice(spark, d))[0].select("room", "event_id", "admin_id", "members")
 
 
-@query("voice_capacity")
+@query("voice_capacity", f"WITH RECURSIVE {TALK} SELECT room, event_id, len(m) AS members FROM f WHERE n > 0 AND outcome = 'full'")
 def voice_capacity(spark, d):
     return rm.voice_log(_voice(spark, d))[0].where("outcome = 'full'").select("room", "event_id", "members")
 
 
-@query("mute_state")
+@query("mute_state", f"""WITH RECURSIVE {TALK}, z AS (SELECT *, unnest(m) AS user_id FROM f WHERE (room, n) IN (SELECT (room, max(n)) FROM k GROUP BY room))
+SELECT room, user_id, list_contains(quiet, user_id) AS muted FROM z""")
 def mute_state(spark, d):
     return rm.voice_log(_voice(spark, d))[1]
 
@@ -178,9 +198,28 @@ def bitrate_steps(spark, d):
     return rm.bitrate_steps(_stats(spark, d))
 
 
-@query("layer_state")
+LAYERS = ("add", "remove", "toggle", "move", "select")
+STACKED = f"""k AS (SELECT user_id % 10 AS room, event_id, {CASE.format(*[f"'{x}'" for x in LAYERS])} AS kind, 'l' || event_id % 8 AS l, event_id % 5 AS pos,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT DISTINCT room, 0::BIGINT AS n, 0::BIGINT AS event_id, ['base'] AS ids, []::VARCHAR[] AS hidden, 'base' AS current FROM k
+UNION ALL SELECT f.room, k.n, k.event_id,
+  CASE WHEN kind = 'add' AND len(ids) < 5 AND NOT list_contains(ids, l) THEN list_append(ids, l)
+    WHEN kind = 'remove' AND len(ids) > 1 THEN list_filter(ids, lambda x: x <> l)
+    WHEN kind = 'move' AND list_contains(ids, l) AND pos < len(ids) THEN list_concat(list_append(list_filter(ids, lambda x: x <> l)[1:pos], l),
+      list_filter(ids, lambda x: x <> l)[pos + 1:]) ELSE ids END,
+  CASE WHEN kind = 'remove' AND len(ids) > 1 THEN list_filter(hidden, lambda x: x <> l)
+    WHEN kind = 'toggle' AND list_contains(ids, l) THEN list_concat(list_filter(hidden, lambda x: x <> l), CASE WHEN pos % 2 = 0 THEN [] ELSE [l] END)
+    ELSE hidden END,
+  CASE WHEN kind = 'add' AND len(ids) < 5 AND NOT list_contains(ids, l) OR kind = 'select' AND list_contains(ids, l) THEN l
+    WHEN kind = 'remove' AND len(ids) > 1 AND current = l THEN list_filter(ids, lambda x: x <> l)[greatest(list_position(ids, l) - 2, 0) + 1]
+    ELSE current END
+FROM f JOIN k ON k.room = f.room AND k.n = f.n + 1)"""
+
+
+@query("layer_state", f"""WITH RECURSIVE {STACKED} SELECT room, event_id,
+  array_to_string(list_transform(ids, lambda x: x || CASE WHEN list_contains(hidden, x) THEN '-' ELSE '+' END), ',') AS layers, current FROM f WHERE n > 0""")
 def layer_state(spark, d):
-    rows = _kinds(spark, d, "add", "remove", "toggle", "move", "select")
+    rows = _kinds(spark, d, *LAYERS)
     return rm.layer_state(rows.withColumns({
         "layer_id": F.concat(F.lit("l"), F.col("event_id") % 8), "n": F.col("event_id") % 5}))
 
