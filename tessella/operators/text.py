@@ -123,10 +123,11 @@ def term_frequency(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """ln(N/(df+1)) + 1. Counts hold one row per (document, term), so df is a
-    plain count and needs no distinct; N arrives as a scalar subquery."""
+    """ln(N/(df+1)) + 1. Counts hold one row per (document, term), so df needs no
+    distinct; N arrives as a scalar subquery. Asking for n keeps this side's shuffle
+    of the counts the same as the other side's, so tokens are counted once."""
     n_docs = docs.select(F.count("*").alias("n")).scalar()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    df = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     return df.withColumn("idf", F.log(n_docs / (F.col("df") + 1)) + 1)
 
 
