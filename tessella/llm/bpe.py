@@ -28,7 +28,7 @@ from tessella.llm.columns import lists, runs
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NONE = np.int32(2**31 - 1)
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 """Encoded pieces a task keeps for later batches; beyond it starts anew."""
 LONG_PIECE = 256
 """Bytes from which every occurrence of a row's best pair merges in one round."""
@@ -110,7 +110,7 @@ class Vocabulary:
                                    []).append(k)
         for rows in buckets.values():
             width = max(len(pieces[k]) for k in rows)
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 18) // width)
             for a in range(0, len(rows), step):
                 self._merge([pieces[k] for k in rows[a:a + step]], rows[a:a + step], width, out)
         return out

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Texts are handled in runs of about this many bytes, so that the working arrays
 of a task stay small; one longer text is a run of its own."""
 
@@ -44,3 +44,16 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     at = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values, kind))
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows is linked to, over others too."""
+    low = np.arange(n)
+    while True:
+        now = low.copy()
+        np.minimum.at(now, i, low[j])
+        np.minimum.at(now, j, low[i])
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now

@@ -34,7 +34,7 @@ LANDMARKS = 32
 RIDGE = 1e-2
 FOLDS = 5
 NONE = "und"
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 FOLD = np.full(256, 0x20, np.uint8)
 FOLD[97:123] = np.arange(97, 123)
@@ -87,7 +87,8 @@ class Model:
     def presence(self, column: pa.Array) -> np.ndarray:
         """1 where a text has a vocabulary n-gram."""
         if self.place is None:
-            self.place = np.full(BASE[-1], -1, np.int32)
+            small = len(self.vocabulary) < 1 << 15
+            self.place = np.full(BASE[-1], -1, np.int16 if small else np.int32)
             self.place[self.vocabulary] = np.arange(len(self.vocabulary))
         out = np.zeros((len(column), len(self.vocabulary)), np.uint8)
         for value, owner in grams(column):
@@ -180,8 +181,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "_text", RUN_BYTES):
-                for at in range(0, part.num_rows, 512):
-                    some = part.slice(at, 512)
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
                     lang, score = sent.value.predict(some.column(len(names)))
                     yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(lang, pa.string()), pa.array(score)],
                                                      names=[*names, "lang_pred", "score"])
@@ -195,8 +196,8 @@ def known(docs: DataFrame, model: Model, least: float, text: str = "text") -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, text, RUN_BYTES):
-                for at in range(0, part.num_rows, 512):
-                    some = part.slice(at, 512)
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
                     lang, score = sent.value.predict(some.column(some.schema.get_field_index(text)))
                     yield some.filter(pa.array([a != NONE and b >= least for a, b in zip(lang, score)], pa.bool_()))
     return docs.mapInArrow(work, docs.schema)

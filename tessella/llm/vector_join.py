@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.columns import spanning
 from tessella.llm.hashing import mix
 from tessella.operators.graph import components
 from tessella.session import cut
@@ -195,19 +196,6 @@ class Found:
         return np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that each of n rows is linked to, over others too."""
-    low = np.arange(n)
-    while True:
-        now = low.copy()
-        np.minimum.at(now, i, low[j])
-        np.minimum.at(now, j, low[i])
-        now = now[now]
-        if (now == low).all():
-            return low
-        low = now
-
-
 def compare(rows: DataFrame, cosine: float) -> DataFrame:
     """(node, other, links): links counted for a node, or an edge to another node."""
     def finish(held: list[pa.RecordBatch], spaces: dict[int, Space]) -> Iterator[pa.RecordBatch]:
