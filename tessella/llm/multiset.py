@@ -90,13 +90,14 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns and `fingerprint`."""
     source = docs.select(*[docs[c] for c in keep or ["doc_id"]], docs[text].alias("_text"))
+    names = [*source.columns[:-1], "fingerprint"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spelled(sums(part.column("_text"))))],
-                                                 names=[*source.columns[:-1], "fingerprint"])
+                                                 names=names)
     return source.mapInArrow(work, f"{schema}, fingerprint string")
 
 
