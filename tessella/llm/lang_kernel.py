@@ -11,6 +11,15 @@ presence matrix times that matrix. Only n-grams of landmarks count.
 The classifier is fitted on at most `PER_LANGUAGE` rows of each label, those of
 lowest id hash; the first `LANDMARKS` of them are landmarks. Everything is predicted.
 
+`known` keeps texts in one of the languages. The score alone does not tell: a text that
+shares nothing with any landmark has the middle score. So the n-grams of 3 with a letter
+are counted, and how many of them a landmark has. The least score and the least share
+are low quantiles of the training rows that are answered right, less a margin;
+a landmark's own n-grams count for it only if another landmark has them. A share has
+three standard deviations of slack and the n-grams of one long token (a key, a hash), so short
+texts go on clear evidence only; a text with such n-grams of which no landmark has any goes. A text in which another language or script
+takes more than about the margin goes as well.
+
 Defined cases: a text that is NULL or has no letter is `und` with score 0; without
 labelled rows so is every text; a text that shares no n-gram with a landmark gets
 score 1/2 of the first label at most; long texts are read whole; equal texts get
@@ -34,6 +43,11 @@ LANDMARKS = 32
 RIDGE = 1e-2
 FOLDS = 5
 NONE = "und"
+LOW_QUANTILE = 0.01
+SCORE_MARGIN = 0.25
+SHARE_MARGIN = 0.1
+SLACK = 3.0
+TOKEN = 24
 RUN_BYTES = 1 << 19
 
 FOLD = np.full(256, 0x20, np.uint8)
@@ -42,6 +56,7 @@ FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 GRAMS = (1, 2, 3)
 BASE = np.cumsum([0, 1 << 8, 1 << 16, 1 << 24])
+BLANK = BASE[2] + 0x202020
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -74,22 +89,28 @@ def has_letter(text: str | None) -> bool:
 class Model:
     """Vocabulary of landmark n-grams, and a score per n-gram and language."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, labels: list[str]):
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, labels: list[str],
+                 least_score: float = 0.0, least_share: float = 0.0):
         self.vocabulary, self.weights, self.labels = vocabulary, weights, labels
+        self.least_score, self.least_share = least_score, least_share
         self.place = None
 
     def __getstate__(self):
-        return self.vocabulary, self.weights, self.labels
+        return self.vocabulary, self.weights, self.labels, self.least_score, self.least_share
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def presence(self, column: pa.Array) -> np.ndarray:
-        """1 where a text has a vocabulary n-gram."""
+    def places(self) -> np.ndarray:
         if self.place is None:
             small = len(self.vocabulary) < 1 << 15
             self.place = np.full(BASE[-1], -1, np.int16 if small else np.int32)
             self.place[self.vocabulary] = np.arange(len(self.vocabulary))
+        return self.place
+
+    def presence(self, column: pa.Array) -> np.ndarray:
+        """1 where a text has a vocabulary n-gram."""
+        self.places()
         out = np.zeros((len(column), len(self.vocabulary)), np.uint8)
         for value, owner in grams(column):
             v = self.place[value]
@@ -112,6 +133,18 @@ class Model:
         score = np.clip((value.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
         return names, np.where(lettered, score, 0.0)
 
+    def covered(self, column: pa.Array) -> np.ndarray:
+        """Whether landmarks have as many of a text's n-grams of 3 as a known language asks for."""
+        place = self.places()
+        total, held = np.zeros(len(column)), np.zeros(len(column))
+        for value, owner in grams(column):
+            counts = (value >= BASE[2]) & (value != BLANK)
+            total += np.bincount(owner[counts], minlength=len(column))
+            held += np.bincount(owner[counts & (place[value] >= 0)], minlength=len(column))
+        share = self.least_share
+        least = total * share - SLACK * np.sqrt(total * share * (1 - share)) - TOKEN
+        return (total == 0) | (held > 0) & (held >= least)
+
 
 def _normal(presence: np.ndarray) -> np.ndarray:
     size = np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
@@ -139,14 +172,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "_text", RUN_BYTES):
-                each = [np.unique(np.concatenate([v for v, _ in grams(part.column(2).slice(k, 1))]))
+                each = [np.unique(np.concatenate([v for v, _ in grams(part.column(2).slice(k, 1))]), return_counts=True)
                         for k in range(part.num_rows)]
-                flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+                sizes = np.array([len(x) for x, _ in each])
+                flat, often = (np.concatenate([x[k] for x in each] or [np.zeros(0, np.int64)]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), lists(flat, np.array([len(x) for x in each]), pa.int64())],
-                    names=["_lang", "_rank", "grams"])
+                    [part.column(0), part.column(1), lists(flat, sizes, pa.int64()), lists(often, sizes, pa.int64())],
+                    names=["_lang", "_rank", "grams", "often"])
 
-    held = source.mapInArrow(work, "_lang string, _rank int, grams array<long>").toArrow().sort_by(
+    held = source.mapInArrow(work, "_lang string, _rank int, grams array<long>, often array<long>").toArrow().sort_by(
         [("_lang", "ascending"), ("_rank", "ascending")])
     langs = held.column("_lang").to_pylist()
     labels = sorted(set(langs))
@@ -168,7 +202,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     phi = rows_n @ marks_n.T @ root
     target = np.where(np.array(langs)[:, None] == np.array(labels)[None, :], 1.0, -1.0)
     weight = np.linalg.solve(phi.T @ phi + ridge * len(found) * np.eye(phi.shape[1]), phi.T @ target)
-    return Model(vocabulary, (marks_n.T @ (root @ weight)).astype(np.float32), labels)
+    model = Model(vocabulary, (marks_n.T @ (root @ weight)).astype(np.float32), labels)
+    value = rows_n @ model.weights
+    right = value.argmax(axis=1) == np.array([labels.index(x) for x in langs])
+    holders, own = presence[marks].sum(axis=0, dtype=np.int64), np.zeros(len(found), np.int64)
+    own[marks] = 1
+    share = np.ones(len(found))
+    for k, (values, often) in enumerate(zip(found, held.column("often").to_pylist())):
+        counts = (values >= BASE[2]) & (values != BLANK)
+        values, often = values[counts], np.array(often, np.int64)[counts]
+        at = np.searchsorted(vocabulary, values)
+        at[at == len(vocabulary)] = 0
+        by_others = (vocabulary[at] == values) & (holders[at] > own[k])
+        share[k] = often[by_others].sum() / max(often.sum(), 1)
+    if right.any():
+        score = (value.max(axis=1)[right] + 1) / 2
+        model.least_score = float(max(np.quantile(score, LOW_QUANTILE) - SCORE_MARGIN, 0))
+        model.least_share = float(max(np.quantile(share[right], LOW_QUANTILE) - SHARE_MARGIN, 0))
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -189,8 +240,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     return source.mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of docs whose text has letters and a language scored `least` or more."""
+def known(docs: DataFrame, model: Model, least: float | None = None, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has letters and is in one of the model's languages; with
+    `least`, the rows with letters and a language scored that or more, by the score alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +250,12 @@ def known(docs: DataFrame, model: Model, least: float, text: str = "text") -> Da
             for part in runs(batch, text, RUN_BYTES):
                 for at in range(0, part.num_rows, 256):
                     some = part.slice(at, 256)
-                    lang, score = sent.value.predict(some.column(some.schema.get_field_index(text)))
-                    yield some.filter(pa.array([a != NONE and b >= least for a, b in zip(lang, score)], pa.bool_()))
+                    column = some.column(some.schema.get_field_index(text))
+                    lang, score = sent.value.predict(column)
+                    enough = score >= (sent.value.least_score if least is None else least)
+                    if least is None and sent.value.labels:
+                        enough &= sent.value.covered(column)
+                    yield some.filter(pa.array([a != NONE and bool(b) for a, b in zip(lang, enough)], pa.bool_()))
     return docs.mapInArrow(work, docs.schema)
 
 

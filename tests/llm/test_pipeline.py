@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 import __spark_entry__ as entry
@@ -44,3 +47,27 @@ def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_texts_in_no_known_language_go(spark):
+    """Foreign scripts, languages without a label and random letters, between clean rows."""
+    rng = random.Random(4)
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    noise = [
+        "Этот текст написан на русском языке и рассказывает об истории города и его жителях.",
+        "Αυτό το κείμενο είναι γραμμένο στα ελληνικά και μιλά για την ιστορία της πόλης.",
+        "这是一段用中文写成的文字，讲述了这座城市的历史以及居民的生活。", "日本語の短い文です。", "1234567890 " * 50 + "中文",
+        "Tämä on suomenkielinen teksti, jossa kerrotaan kaupungin historiasta ja sen asukkaiden elämästä vuosisatojen aikana. "
+        "Joki virtaa keskustan läpi, ja sen rannalla on vanhoja puutaloja, joissa asuu yhä perheitä.",
+        "Questo testo parla della storia della città e degli abitanti che vi hanno vissuto per molti secoli con orgoglio. "
+        "Il fiume attraversa il centro, e sulle sue rive ci sono vecchie case di legno dove vivono ancora famiglie.",
+        "Ten tekst opowiada o historii miasta i jego mieszkańców, którzy żyli tam przez wiele wieków z wielką dumą.",
+        *[" ".join("".join(rng.choices(latin, k=rng.randint(2, 10))) for _ in range(40)) for _ in range(30)],
+        "".join(rng.choices(latin, k=300)),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(10**9 + k, t, None, "web", len(t)) for k, t in enumerate(noise)]
+    added = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).unionByName(added)
+    kept = {r.doc_id for r in C.language_id(spark, both, "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
