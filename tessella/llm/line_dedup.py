@@ -1,15 +1,22 @@
 """Deleting lines that a document shares with an earlier one, by pairwise alignment.
 
-Documents are ordered by (doc_id, hash of the text). A line of at least `least_words`
-words that several documents hold pairs each of them with the first one that
-holds it; that needs one minimum per line hash, so a line may be in any number of
-documents, and there are never more pairs than lines. A pair keeps its rarest shared
-line as evidence. Each pair is aligned by patience diff on line hashes: lines
-that occur once on both sides and ascend on both sides anchor the alignment, equal
-neighbours extend it, and the gaps between anchors are aligned the same way.
+Documents are ordered by (doc_id, hash of the text). From every line that is not blank
+goes the shortest run of consecutive lines with `least_words` words or more, and to
+every such line another one; a line of that many words is a run by itself. A run that
+several documents hold pairs each of them with the first one that holds it; that needs one
+minimum per hash of a run, so a run may be in any number of documents, and there
+are never more than two pairs a line. Each pair is aligned by patience diff on line hashes:
+lines that occur once on both sides and ascend on both sides anchor the alignment,
+equal neighbours extend it, and the gaps between anchors are aligned the same way.
 Runs of aligned lines with `least_words` words or more in total are deleted from
-the later document, and so are moved or repeated lines of that many words. As the first holder of a line is never later than itself, one
-copy of every line stays in the corpus.
+the later document. What one alignment cannot hold, runs of that many words that moved or
+are repeated, is found by the hashes of runs and deleted too. So in all, a line goes
+exactly if a run of consecutive lines around it with enough words is in an earlier
+document, wherever it stands there. As the first holder of a run is never later than
+itself, one copy of every run stays in the corpus.
+
+A word is a stretch without white space; in scripts written without spaces (Chinese,
+Japanese, Thai, Lao, Khmer, Burmese) every character counts as one.
 
 Lines are split at line feeds, compared without white space around them, and joined
 again by line feeds. Defined cases: a NULL text stays NULL, an empty one empty; rows
@@ -25,13 +32,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import cut
 
 LEAST_WORDS = 5
+BATCH = 1024
+NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{NO_SPACES}]|[^\x20\x09-\x0D{NO_SPACES}]+"
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def _lines(text: Column) -> Column:
@@ -82,9 +96,51 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def enough(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray, least_words: int,
+           blank: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, hash) of the shortest runs of enough words from and to each
+    line, if it is not blank or `blank` is set. The lines of several documents follow each other; `ends`
+    holds the end of its document for each line. The hash of one line is its own."""
+    n = len(hashes)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none, none
+    total = np.cumsum(words, dtype=np.int64)
+    before = total - words
+    line = np.arange(n)
+    last = np.searchsorted(total, before + least_words)
+    forth = ((words > 0) | blank) & (last < ends)
+    first = np.searchsorted(before, total - least_words, "right") - 1
+    back = ((words > 0) | blank) & (first >= 0)
+    back[back] = ends[first[back]] == ends[back]
+    back[back] = last[first[back]] != line[back]  # found from its first line already
+    start = np.concatenate([line[forth], first[back]])
+    stop = np.concatenate([last[forth], line[back]])
+    power = np.full(n, BASE, np.uint64)
+    inverse = np.full(n, BASE_INVERSE, np.uint64)
+    power[0] = inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.int64).view(np.uint64) * np.cumprod(power))])
+    return start, stop, ((sums[stop + 1] - sums[start]) * np.cumprod(inverse)[start]).view(np.int64)
+
+
+def moved_places(later: list[int], earlier: list[int], words: list[int], least_words: int) -> list[int]:
+    """Lines of `later` in runs of enough words that are anywhere in `earlier`."""
+    of = dict(zip(later, words))  # a run with a line that only `earlier` has is in no later text, whatever its words
+
+    def runs(lines: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([of.get(x, least_words) for x in lines], np.int64)
+        return enough(np.array(lines, np.int64), n, np.full(len(lines), len(lines)), least_words, blank=True)
+    start, stop, key = runs(later)
+    held = np.isin(key, runs(earlier)[2])
+    edge = np.zeros(len(later) + 1, np.int64)
+    np.add.at(edge, start[held], 1)
+    np.add.at(edge, stop[held] + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1]).tolist()
+
+
 def deleted_places(later: list[int], earlier: list[int], words: list[int], least_words: int) -> list[int]:
-    """Lines of `later` in aligned blocks of enough words. What one alignment cannot
-    hold, lines that moved or are repeated, counts as blocks of one line."""
+    """Lines of `later` in aligned blocks of enough words, or in runs of enough words that
+    moved or are repeated, which one alignment cannot hold."""
     out: list[int] = []
     block: list[int] = []
     before = (-2, -2)
@@ -96,7 +152,9 @@ def deleted_places(later: list[int], earlier: list[int], words: list[int], least
         block.append(i)
         before = (i, j)
     held, gone = set(earlier), set(out)
-    return out + [k for k, x in enumerate(later) if x in held and words[k] >= least_words and k not in gone]
+    if any(x in held and k not in gone for k, x in enumerate(later)):
+        gone.update(moved_places(later, earlier, words, least_words))
+    return sorted(gone)
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -108,14 +166,24 @@ def duplicate_lines(docs: DataFrame, text: str = "text", least_words: int = LEAS
                 .select(F.struct(did.alias("did"), F.xxhash64(docs[text]).alias("tid")).alias("doc"),
                         stripped.alias("_l"))
                 .select("doc", F.transform("_l", lambda x: F.xxhash64(x)).alias("hashes"),
-                        F.transform("_l", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")))
-    each = (lines.select("doc", F.explode(F.arrays_zip("hashes", "words")).alias("_z"))
-            .where(F.col("_z.words") >= least_words).select("doc", F.col("_z.hashes").alias("line")))
-    # Written on its own: a join of two shuffled sides can be split where a line is frequent.
-    first = cut(each.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"),
-                                         F.count("*").alias("df")).where("first < _last").drop("_last"))
-    pairs = (each.join(first, "line").where(F.col("doc") != F.col("first"))
-             .groupBy("doc", "first").agg(F.min("df").alias("rarest")))
+                        F.transform("_l", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                size = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                ends = np.repeat(np.cumsum(size), size)
+                owner = np.repeat(np.arange(part.num_rows), size)
+                start, _, key = enough(part.column(1).flatten().to_numpy(zero_copy_only=False),
+                                       part.column(2).flatten().to_numpy(zero_copy_only=False), ends, least_words)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[start])), pa.array(key)], names=["doc", "run"])
+
+    each = lines.mapInArrow(runs, "doc struct<did:long,tid:long>, run long")
+    # Written on its own: a join of two shuffled sides can be split where a run is frequent.
+    first = cut(each.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"))
+                .where("first < _last").drop("_last"))
+    pairs = each.join(first, "run").where(F.col("doc") != F.col("first")).select("doc", "first").distinct()
     sequences = lines.groupBy("doc").agg(F.first(F.struct("hashes", "words")).alias("_s"))
     earlier = sequences.select(F.col("doc").alias("first"), F.col("_s.hashes").alias("earlier"))
     later = sequences.select("doc", F.col("_s.hashes").alias("later"), F.col("_s.words").alias("words"))

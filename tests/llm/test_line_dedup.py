@@ -58,3 +58,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert got.columns == odd_docs.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, odd_docs.collect()))
     assert L.dedup(no_docs).count() == 0
+
+
+def test_blocks_of_short_lines_are_found(spark):
+    verse = "\n".join(f"verse {k} line" for k in range(200))
+    table = "\n".join(f"cell {k}" for k in range(50))
+    chinese = "\n".join(["春眠不觉晓", "处处闻啼鸟", "夜来风雨声", "花落知多少"])
+    head = "a long line that the first of all holds already"
+    rows = [(1, f"{head}\nown one"), (2, f"{head}\n{table}\nown two"), (3, f"own three\n{head}\n{table}"),
+            (4, verse), (5, f"own five\n{verse}"), (6, chinese), (7, f"诗\n{chinese}"), (8, "own one\nown eight"),
+            (9, "start of it all now here\nshort tail"), (10, "start of it all now here\nother"), (11, "x\nstart of it all now here\nother")]
+    got = {r.doc_id: r.text for r in L.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {1: f"{head}\nown one", 2: f"{table}\nown two", 3: "own three", 4: verse, 5: "own five", 6: chinese, 7: "诗",
+                   8: "own one\nown eight", 9: "start of it all now here\nshort tail", 10: "other", 11: "x"}
