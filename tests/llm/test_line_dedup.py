@@ -60,6 +60,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert L.dedup(no_docs).count() == 0
 
 
+def slow_runs(later, earlier, words, least):
+    """Places of later in any common run of consecutive lines with enough words."""
+    there = {tuple(earlier[j:m]) for j in range(len(earlier)) for m in range(j + 1, len(earlier) + 1)}
+    return sorted({k for i in range(len(later)) for n in range(i + 1, len(later) + 1)
+                   if tuple(later[i:n]) in there and sum(words[i:n]) >= least for k in range(i, n)})
+
+
+def test_runs_go_wherever_they_stand():
+    assert L.deleted_places([7, 8, 9, 1, 2, 3], [1, 2, 3, 7, 8, 9], [2] * 6, 5) == [0, 1, 2, 3, 4, 5]  # moved, short lines
+    rng = random.Random(9)
+    for _ in range(400):
+        count = [0, 1, 2, 3, 6]
+        a, b = ([rng.randint(1, 9) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        words = [count[x % 5] for x in a]
+        assert L.deleted_places(a, b, words, 5) == slow_runs(a, b, words, 5)
+
+
 def test_blocks_of_short_lines_are_found(spark):
     verse = "\n".join(f"verse {k} line" for k in range(200))
     table = "\n".join(f"cell {k}" for k in range(50))
