@@ -6,11 +6,13 @@ scores its own weight, never above zero; one linear scan finds the contiguous
 stretch with the highest sum. Blocks of the stretch are the text, without elements
 that are no part of an article wherever they stand: menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles, known by element
-name, role, or the words of class and id.
+name, role, or names in class and id. A name says so if its last word does, or its first
+one and the last one is a plain part (`ad-slot`); names that speak of a page as a
+whole (`has-sidebar`, `modal-open`, `ad-free`) and `...-widget` of page builders do not.
 
 Weights are log odds of being content, counted over all labelled pages: those with
-one <article> or <main> that has words, whose inside is content. A place that no
-labelled page has gets the default weights. The elements themselves are no feature.
+one <article> or <main> that has words, whose inside is content; one inside the other
+is one region, one in reader comments is a comment. A place that no labelled page has gets the default weights. The elements themselves are no feature.
 
 Inside a block white space is one space; a <br> is white space. Blocks are joined by
 two line feeds. Defined cases: NULL, empty or wordless html has the text ''; unclosed
@@ -49,6 +51,13 @@ complementary contentinfo cookie cookies consent disqus footer gdpr login masthe
 newsletter notice notification outbrain pagination pager popup promo promoted promotion recommended related replies respond
 search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe taboola toolbar topbar
 widget""".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+WHOLE_WORDS = frozenset(("widget",))  # only if they are all of a name
+OF_PAGE_FIRST = frozenset("has is no not with without hide show".split())
+OF_PAGE_LAST = frozenset("active closed collapsed disabled enabled fixed free hidden off on open opened shown visible".split())
+PLAIN_PARTS = frozenset("""area article articles bar block body bottom box button buttons card container content count form group
+holder icon icons inner item items left link links list outer panel post posts region right row section slot stories story
+text thread title top unit wrap wrapper zone""".split())
 
 WORD_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 1.0, -0.5, -0.5
 ASIDE_WEIGHT = -0.1
@@ -58,32 +67,43 @@ MOST = 4.0
 LEAST_TAG = -0.1
 
 
+def is_named(attributes: str, words: frozenset) -> bool:
+    """Whether a name in class, id or role is one of what the words mean."""
+    for m in NAME.finditer(attributes) if "=" in attributes else ():
+        for one in next(g for g in m.groups() if g is not None).split():
+            parts = [p.lower() for p in PART.findall(one) if not p.isdigit()]
+            if not parts or len(parts) > 1 and (parts[0] in OF_PAGE_FIRST or parts[-1] in OF_PAGE_LAST):
+                continue
+            known = [p in words and (p not in WHOLE_WORDS or len(parts) == 1) for p in parts]
+            if known[-1] or any(known) and parts[-1] in PLAIN_PARTS:
+                return True
+    return False
+
+
 def is_aside(name: str, attributes: str) -> bool:
     """Whether an element is known to be no part of an article."""
     if name in ASIDE:
         return True
-    if name in ("html", "body") or name in CONTENT or "=" not in attributes:
-        return False
-    return any(part.lower() in ASIDE_WORDS for m in NAME.finditer(attributes)
-               for part in PART.findall(next(g for g in m.groups() if g is not None)))
+    return name not in ("html", "body") and is_named(attributes, COMMENT_WORDS if name in CONTENT else ASIDE_WORDS)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(place or tag, text, aside, content): runs of text with the place they stand in,
     and tags with an empty text. `content` says if an <article> or <main> is open."""
-    open_: list[tuple[str, bool]] = []
-    asides = articles = links = 0
+    open_: list[tuple[str, bool, bool]] = []
+    asides = articles = links = comments = 0
 
     def pop(to: int) -> None:
-        nonlocal asides, articles, links
+        nonlocal asides, articles, links, comments
         while len(open_) > to:
-            name, aside = open_.pop()
+            name, aside, comment = open_.pop()
             asides -= aside
+            comments -= comment
             articles -= name in CONTENT
             links -= name == "a"
 
     def place() -> str:
-        near = next((n for n, _ in reversed(open_) if n in BLOCK), "body")
+        near = next((n for n, *_ in reversed(open_) if n in BLOCK), "body")
         return near + (" a" if links else "")
 
     at, end = 0, len(page)
@@ -109,8 +129,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             at = close.end() if close else (at if name in ("svg", "math", "object") else end)
             yield name, "", True, articles > 0
             continue
-        if name in CONTENT and asides:
-            pop(next(k for k, (_, aside) in enumerate(open_) if aside))
+        if name in CONTENT and asides and not comments:
+            pop(next(k for k, (_, aside, _) in enumerate(open_) if aside))
         if name in BLOCK:
             last = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] in BLOCK), None)
             if last is not None and (open_[last][0] == "p" or open_[last][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
@@ -118,8 +138,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         yield name, "", asides > 0, articles > 0
         if name not in VOID and not m.group(2).endswith("/"):
             aside = is_aside(name, m.group(2))
-            open_.append((name, aside))
+            comment = aside and is_named(m.group(2), COMMENT_WORDS)
+            open_.append((name, aside, comment))
             asides += aside
+            comments += comment
             articles += name in CONTENT
             links += name == "a"
 
@@ -135,7 +157,7 @@ def counted(page: str) -> Counter | None:
                 found["w " + name, content] += n
                 inside += n if content else 0
         else:
-            regions += name in CONTENT
+            regions += name in CONTENT and not content and not aside
             if name.lstrip("/") not in CONTENT and not aside:
                 found["t " + name, content] += 1
     return found if regions == 1 and inside else None

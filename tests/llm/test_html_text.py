@@ -54,3 +54,23 @@ def test_odd_pages(spark):
         want = "" if r.page_id < 0 else list(pages.values())[r.page_id]
         assert r.text == want, r.page_id
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-widget", "elementor-widget elementor-widget-text-editor",
+                                  "modal-open", "ad-free", "social-science"])
+def test_names_of_wrappers_do_not_drop_the_article(weights, name):
+    page = f'<body><div class="{name}"><p>Words of the article here.</p><p>And more of them.</p></div></body>'
+    assert H.main_text(page, weights) == "Words of the article here.\n\nAnd more of them."
+
+
+def test_parts_of_pages_go(weights):
+    for name in ("site-footer", "sidebar", "cookie-notice", "ad-slot", "related-posts", "post-comments", "comment-12", "share-buttons", "widget"):
+        assert H.is_aside("div", f' class="{name}"'), name
+
+
+def test_articles_among_comments_are_comments(weights):
+    said = "".join(f'<article class="comment"><p>Reader {k} has a lot to say about it</p></article>' for k in range(5))
+    for remarks in (f'<section class="comments">{said}</section>', said, f"<div id=comments>{said.replace(' class=', ' data-x=')}</div>"):
+        page = f"<body><main><article><p>Words of the article here, some more.</p></article></main>{remarks}</body>"
+        assert H.main_text(page, weights) == "Words of the article here, some more."
+    assert H.counted("<main><article><p>one two</p></article></main>")["w p", True] == 2
