@@ -14,7 +14,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tessella.llm import bpe, html_text, jaccard_join, lang_kernel, line_dedup, mixing, multiset, pseudonyms, secret_scan, vector_join
+    from tessella.llm import ball_tree, bpe, hard_negatives, html_text, jaccard_join, lang_kernel, line_dedup, merkle, mixing, multiset, pseudonyms, secret_scan, vector_join
 
     return {
         "op1_secret_scan": lambda s, d: secret_scan.digest(secret_scan.scan(read(s, d, "documents"))),
@@ -27,8 +27,14 @@ def queries() -> dict[str, Query]:
         "op5_byte_bpe": lambda s, d: bpe.digest(read(s, d, "documents")),
         "op9_embedding_dedup": lambda s, d: vector_join.join(read(s, d, "embeddings")),
         "op10_language_id": lambda s, d: lang_kernel.report(read(s, d, "documents")),
+        "op11_merkle_manifest": lambda s, d: merkle.report(read(s, d, "documents")),
+        "op12_hard_negatives": lambda s, d: hard_negatives.report(read(s, d, "embeddings")),
+        "op13_top_k_search": lambda s, d: ball_tree.report(read(s, d, "embeddings")),
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    from tessella.llm import ball_tree, hard_negatives, merkle
+
+    return {"op11_merkle_manifest": merkle.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE,
+            "op13_top_k_search": ball_tree.ORACLE}
