@@ -112,5 +112,6 @@ ENGLISH_PATTERNS = [
 # Blends, bands and names.
 BLEND = {"lexicon": 0.50, "pattern": 0.20, "sentence": 0.15, "emoji": 0.15}
 BLEND_WITH_MODEL = {"lexicon": 0.35, "pattern": 0.15, "sentence": 0.15, "emoji": 0.05, "model": 0.30}
+SENTENCE_ENDS = "。！？.!?；;\n"
 SENTENCE_SPLIT = r"[。！？.!?；;\n]+"
 WINDOW = {"chinese": 4, "english": 5}

@@ -6,13 +6,17 @@ of one text inside its row (see functions.spans); only reports group rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.data import entities as ed
+from tessella.functions import automaton as au
 from tessella.functions import spans as sp
 from tessella.functions import text as tx
 from tessella.functions.rows import unnest
+from tessella.operators.grams import gram_join
 
 HAS_CJK = r"[\x{4e00}-\x{9fa5}]"
 
@@ -32,31 +36,43 @@ def span_rows(docs: DataFrame, key: str, spans: Column) -> DataFrame:
     return unnest(docs, [key], spans, "s").select(key, "s.*")
 
 
-def gazetteer_spans(text: Column, names=None) -> Column:
-    return sp.of_names(text, name_array(ed.GAZETTEER if names is None else names))
+Names = list[tuple[str, str, float]]
+HELD_NAMES = 500_000
+"""Names up to which a table is held by every task."""
+
+
+def gazetteer_spans(text: Column, names: Names) -> Column:
+    """Spans of (name, type, confidence), name after name, each from left to right; one
+    pass of an automaton finds them all."""
+    words = au.Automaton(n for n, _, _ in names)
+    meant: dict[str, list[tuple[int, str, float]]] = {}
+    for k, (n, kind, confidence) in enumerate(names):
+        meant.setdefault(n, []).append((k, kind, float(confidence)))
+    kind_ = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("type", pa.string()),
+                                ("confidence", pa.float64())]))
+
+    @F.arrow_udf(sp.SPAN)
+    def find(texts: pa.Array) -> pa.Array:
+        out = []
+        for run in au.runs(texts):
+            codes, begins = au.characters(run)
+            start, word = words.find(codes)
+            of = np.searchsorted(begins, start, side="right") - 1
+            found: list[list[tuple]] = [[] for _ in range(len(run))]
+            for t, w, s in zip(of.tolist(), word.tolist(), (start - begins[of]).tolist()):
+                name = words.words[w]
+                found[t] += [(k, s, name, kind, c) for k, kind, c in meant[name]]
+            out += [[{"start": s, "end": s + len(n), "text": n, "type": kind, "confidence": c}
+                     for _, s, n, kind, c in sorted(f)] for f in found]
+        return pa.array(out, kind_)
+    return find(text)
 
 
 def gazetteer_entities(docs: DataFrame, key: str, gazetteer: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start, end, text, type, confidence) for a (name, type, confidence)
-    table of any size, which is joined on the character n-grams of its names."""
-    return gazetteer_join(docs, key, gazetteer, text)
-
-
-def gazetteer_join(docs: DataFrame, key: str, gazetteer: DataFrame, text: str = "text") -> DataFrame:
-    """The same, written out: grams of the lengths that names have, of which there are
-    few, are cut where a name could start, and joined with the names."""
-    lengths = sorted(r[0] for r in gazetteer.select(F.length("name")).distinct().collect())
-    chars = docs.select(key, F.split(text, "").alias("chars"))
-
-    def grams(n: int) -> Column:
-        last = F.size("chars") - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-            i.alias("start"), F.array_join(F.slice("chars", i + 1, n), "").alias("name"))))
-    empty = F.expr("cast(array() as array<struct<start:int,name:string>>)")
-    exploded = unnest(chars, [key], F.concat(
-        empty, *[F.coalesce(grams(n), empty) for n in lengths]), "g").select(key, "g.*")
-    hit = exploded.join(gazetteer.select("name", "type", "confidence").distinct(), "name")
-    return hit.select(key, "start", (F.col("start") + F.length("name")).alias("end"),
+    """(key, start, end, text, type, confidence) for a (name, type, confidence) table of
+    any size (see grams)."""
+    hit = gram_join(docs, key, gazetteer.select("name", "type", "confidence"), "name", text)
+    return hit.select(key, "start", (F.col("start") + F.length("name")).cast("int").alias("end"),
                       F.col("name").alias("text"), "type", "confidence")
 
 
@@ -181,17 +197,36 @@ def merge_adjacent(spans: Column, text: Column) -> Column:
     return F.aggregate(spans, sp.none(), step)
 
 
-def candidates(text: Column, names=None) -> Column:
+def candidates(text: Column, named: Column) -> Column:
+    """Spans of all kinds; named: those of the gazetteer."""
     english = F.when(tx.language_by_majority(text) == "english", english_spans(text)).otherwise(sp.none())
-    return F.concat(gazetteer_spans(text, names), time_spans(text), suffix_spans(text),
+    return F.concat(named, time_spans(text), suffix_spans(text),
                     person_spans(text), english)
 
 
-def recognize(docs: DataFrame, names=None, text: str = "text") -> DataFrame:
+def with_candidates(docs: DataFrame, key: str, names: DataFrame | Names, text: str = "text",
+                    held_names: int = HELD_NAMES) -> DataFrame:
+    """Adds `candidates`. Names are a list or a (name, type, confidence) table; one of more
+    than `held_names` rows is joined, and a text's hits return to its row by key."""
+    t = F.col(text)
+    if isinstance(names, DataFrame):
+        names = names.where("name <> ''").select("name", "type", F.col("confidence").cast("double").alias("confidence"))
+        rows = names.limit(held_names + 1).collect()
+        if len(rows) > held_names:
+            hits = gazetteer_entities(docs, key, names, text).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(
+                F.struct("start", "end", "text", "type", "confidence"))).alias("_named"))
+            rows = docs.join(hits, F.col(key) == F.col("_key"), "left").drop("_key")
+            return rows.withColumn("candidates", candidates(t, F.coalesce("_named", sp.none()))).drop("_named")
+        names = [tuple(r) for r in rows]
+    return docs.withColumn("candidates", candidates(t, gazetteer_spans(t, [n for n in names if n[0]])))
+
+
+def recognize(docs: DataFrame, key: str, names: DataFrame | Names, text: str = "text", held_names: int = HELD_NAMES) -> DataFrame:
     """Adds `entities`, the final spans of each text."""
     t = F.col(text)
-    spans = resolve_overlaps(postprocess(candidates(t, names), t))
-    return docs.withColumn("entities", postprocess(merge_adjacent(spans, t), t))
+    spans = resolve_overlaps(postprocess(F.col("candidates"), t))
+    rows = with_candidates(docs, key, names, text, held_names)
+    return rows.withColumn("entities", postprocess(merge_adjacent(spans, t), t)).drop("candidates")
 
 
 def entity_rows(recognized: DataFrame, key: str) -> DataFrame:

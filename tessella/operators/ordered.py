@@ -10,58 +10,55 @@ NULL times, which form a key and a first bucket of their own.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _buckets(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn("_b", bucket)
+def _buckets(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Adds `_g`, key and bucket as one value: never NULL itself, with equal NULLs inside.
+    Windows and joins both go by it, so rows are shuffled and sorted once."""
+    return df.withColumn("_g", F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], bucket.alias("_b")))
 
 
 def _before(keys: list[str]):
-    return (Window.partitionBy(*keys).orderBy("_b")
+    return (Window.partitionBy(*[f"_of._k{i}" for i in range(len(keys))]).orderBy("_of._b")
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """rows beside the row of their bucket; NULL equals NULL."""
-    names = [*keys, "_b"]
-    other = table.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(names)})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])
-    return rows.join(other, same).drop(*[f"_k{i}" for i in range(len(names))])
+def _with(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows beside the row of their bucket."""
+    return rows.join(table, F.col("_g") == F.col("_of")).drop("_of")
 
 
 def sequence_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                     name: str = "seq") -> DataFrame:
     """1, 2, 3 … per key in the given order."""
-    rows = _buckets(df, bucket)
-    offsets = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumn(
+    rows = _buckets(df, keys, bucket)
+    offsets = rows.groupBy(F.col("_g").alias("_of")).agg(F.count("*").alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return (_with(rows.withColumn("_r", local), offsets, keys)
+    local = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    return (_with(rows.withColumn("_r", local), offsets)
             .withColumn(name, (F.col("_r") + F.col("_off")).cast("long"))
-            .drop("_b", "_r", "_off"))
+            .drop("_g", "_r", "_off"))
 
 
 def running_sum_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                        value: Column, name: str) -> DataFrame:
-    rows = _buckets(df, bucket).withColumn("_v", value)
-    offsets = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_n")).withColumn(
+    rows = _buckets(df, keys, bucket).withColumn("_v", value)
+    offsets = rows.groupBy(F.col("_g").alias("_of")).agg(F.sum("_v").alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
-    local = F.sum("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order)
+    local = F.sum("_v").over(Window.partitionBy("_g").orderBy(*order)
                              .rowsBetween(Window.unboundedPreceding, 0))
-    return (_with(rows.withColumn("_r", local), offsets, keys)
-            .withColumn(name, F.col("_r") + F.col("_off")).drop("_b", "_v", "_r", "_off"))
+    return (_with(rows.withColumn("_r", local), offsets)
+            .withColumn(name, F.col("_r") + F.col("_off")).drop("_g", "_v", "_r", "_off"))
 
 
 def previous_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                     columns: list[str], name: str = "prev") -> DataFrame:
     """Struct of the given columns of the row before, NULL for the first."""
-    rows = _buckets(df, bucket).withColumn("_s", F.struct(*columns))
-    tails = rows.groupBy(*keys, "_b").agg(F.max_by("_s", F.struct(*order)).alias("_t")).withColumn(
-        "_t", F.lag("_t").over(Window.partitionBy(*keys).orderBy("_b")))
-    local = F.lag("_s").over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return (_with(rows.withColumn("_p", local), tails, keys)
-            .withColumn(name, F.coalesce("_p", "_t")).drop("_b", "_s", "_p", "_t"))
+    rows = _buckets(df, keys, bucket).withColumn("_s", F.struct(*columns))
+    tails = rows.groupBy(F.col("_g").alias("_of")).agg(F.max_by("_s", F.struct(*order)).alias("_t")).withColumn(
+        "_t", F.lag("_t").over(Window.partitionBy(*[f"_of._k{i}" for i in range(len(keys))]).orderBy("_of._b")))
+    local = F.lag("_s").over(Window.partitionBy("_g").orderBy(*order))
+    return (_with(rows.withColumn("_p", local), tails)
+            .withColumn(name, F.coalesce("_p", "_t")).drop("_g", "_s", "_p", "_t"))

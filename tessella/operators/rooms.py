@@ -1,10 +1,11 @@
 """Room events in batch: validation, numbering, presence, voice, layers.
 
-Numbering, changes and running counts use bucketed windows (see ordered). The
-state machines (undo stacks, voice sessions, layers, bitrate) depend on every
-earlier event of their room; `fold` replays them in rounds of a bounded number
-of events per room, hands a small state from round to round and checkpoints it,
-so no task ever holds a whole hot room.
+Numbering, changes and running counts use bucketed windows (see ordered). Undo and
+redo are functions that compose, and are scanned over blocks (see scan and undo), so
+one hot room is worked on by all tasks. The other state machines (voice sessions,
+layers, bitrate) depend on every earlier event of their room; `fold` replays them in
+rounds of a bounded number of events per room, hands a small state from round to round
+and checkpoints it, so no task ever holds a whole hot room.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.ordered import previous_in_key, running_sum_in_key, sequence_in_key
+from tessella.operators.scan import BLOCK, scan
+from tessella.operators.undo import History
 from tessella.session import cut
 
 # Fixed values
@@ -155,45 +158,25 @@ def _plain(value):
     return int(value) if isinstance(value, float) and value.is_integer() else value
 
 
-def undo_step(state: dict, part: pd.DataFrame):
-    """Stacks of event ids: a draw clears redo, undo and redo move one id."""
-    done, undone = state.get("done", []), state.get("undone", [])
-    for kind, event in zip(part["kind"], part["event_id"]):
-        if kind == "undo":
-            undone += [done.pop()] if done else []
-        elif kind == "redo":
-            done += [undone.pop()] if undone else []
-        else:
-            done.append(int(event))
-            undone = []
-    return [], {"done": done, "undone": undone}
-
-
-def visible_commands(events: DataFrame, chunk: int = 50_000) -> DataFrame:
-    """(room, event_id) of the drawings left after all undo and redo."""
-    _, state = fold(events, "room", ["ts", "event_id"], ["kind", "event_id"], undo_step, "event_id long", chunk)
-    ids = F.from_json("state", "done array<long>")["done"]
-    return state.select("room", F.explode(ids).alias("event_id"))
-
-
-def pointer_step(state: dict, part: pd.DataFrame):
-    at, length, out = state.get("at", 0), state.get("length", 0), []
-    for kind, event in zip(part["kind"], part["event_id"]):
-        if kind == "undo":
-            at = max(at - 1, 0)
-        elif kind == "redo":
-            at = min(at + 1, length)
-        else:
-            length += 1
-            at = length
-        out.append((int(event), at))
-    return out, {"at": at, "length": length}
-
-
-def undo_pointer(events: DataFrame, chunk: int = 50_000) -> DataFrame:
+def depths(events: DataFrame, log: bool, block: int = BLOCK) -> DataFrame:
+    """(room, event_id, kind, place, depth) after each event, see undo."""
+    rows = sequence_in_key(events, ["room"], hour(), ["ts", "event_id"], "place").withColumn("place", F.col("place") - 1)
+    return scan(rows, "room", "place", ["kind"], History(log), ["event_id", "kind", "place"], block)
+
+
+def visible_commands(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(room, event_id) of the drawings left after all undo and redo: at each depth up to
+    the last one, the latest drawing that was put there."""
+    rows = cut(depths(events, False, block).withColumn("_room", F.struct("room")))
+    last = rows.groupBy(F.col("_room").alias("_of")).agg(F.max_by("depth", "place").alias("_last"))
+    drawn = rows.where("kind IS NULL OR kind NOT IN ('undo', 'redo')").groupBy("_room", "depth").agg(
+        F.max_by("event_id", "place").alias("event_id"))
+    return drawn.join(last, F.col("_room") == F.col("_of")).where("depth <= _last").select("_room.room", "event_id")
+
+
+def undo_pointer(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """The shared pointer after each event, between 0 and the log length."""
-    return fold(events, "room", ["ts", "event_id"], ["kind", "event_id"], pointer_step,
-                "event_id long, pointer long", chunk)[0]
+    return depths(events, True, block).select("room", "event_id", F.col("depth").alias("pointer"))
 
 
 def voice_step(state: dict, part: pd.DataFrame):

@@ -75,14 +75,27 @@ def test_recognize_chinese_and_english(spark):
     df = spark.createDataFrame([(1, "王小明先生，北京大学讲人工智能，2024年1月5日"), (2, "Dr. Anna Smith met Google on 2024-01-05"),
                                 (3, "")], "id int, text string")
     found = {}
-    for r in en.entity_rows(en.recognize(df), "id").collect():
+    names = [("北京大学", "ORG", 0.9), ("人工智能", "NOUN", 0.9)]
+    for r in en.entity_rows(en.recognize(df, "id", names), "id").collect():
         found.setdefault(r["id"], set()).add((r["type"], r["text"]))
     assert {("PER", "王小明先生"), ("ORG", "北京大学"), ("NOUN", "人工智能"), ("TIME", "2024年1月5日")} <= found[1]
     assert {("PER", "Dr. Anna Smith"), ("ORG", "Google"), ("TIME", "2024-01-05")} <= found[2]
     assert 3 not in found
 
 
+def test_names_of_a_table_held_or_joined(spark):
+    """The same spans either way; NULL, empty and repeated names, texts without any."""
+    df = spark.createDataFrame([(1, "北京大学的Anna说aaaa"), (2, None), (3, ""), (4, "x")], "id int, text string")
+    table = spark.createDataFrame([("北京", "LOC", 0.92), ("北京大学", "ORG", 0.9), ("aa", "NOUN", 0.9), ("aa", "LOC", 0.7),
+                                   ("", "LOC", 0.9), (None, "LOC", 0.9)], "name string, type string, confidence double")
+    a, b = (sorted(map(tuple, en.span_rows(en.with_candidates(df, "id", table, held_names=n), "id", F.col("candidates")).collect()))
+            for n in (100, 1))
+    assert a == b and sum(r[3] == "aa" for r in a) == 6 and {r[3] for r in a} >= {"北京", "北京大学"}
+    assert sorted(map(tuple, en.entity_rows(en.recognize(df, "id", table), "id").collect())) == sorted(
+        map(tuple, en.entity_rows(en.recognize(df, "id", table, held_names=1), "id").collect()))
+
+
 def test_highlight(spark):
-    rows = en.recognize(spark.createDataFrame([("在北京说",)], "text string"))
+    rows = en.recognize(spark.createDataFrame([(1, "在北京说")], "id int, text string"), "id", [("北京", "LOC", 0.92)])
     out = rows.select(en.highlight(rows)).first()[0]
     assert out.startswith("在<span") and out.endswith("</span>说") and "北京<sub>地点</sub>" in out

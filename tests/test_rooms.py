@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import ordered, rooms
+from tessella.operators import ordered, rooms, scan, undo
 from tessella.streaming import rooms as st
 
 
@@ -37,6 +37,68 @@ def test_undo_in_rounds(spark):
         assert got == want
 
 
+def test_pointer_in_blocks_with_null_rooms_and_one_hot_room(spark):
+    rows, df = _events(spark, ["draw", "undo", "undo", "redo"], 700, 8)
+    df = df.withColumn("room", F.when(F.col("room") == 0, 1))  # nine in ten events are of one room, the rest of none
+    want, at, length = set(), {}, {}
+    for r in rows:
+        room = 1 if r[2] == 0 else None
+        p, n = at.get(room, 0), length.get(room, 0)
+        if r[4] == "draw":
+            p = n = n + 1
+        p = max(p - 1, 0) if r[4] == "undo" else min(p + 1, n) if r[4] == "redo" else p
+        at[room], length[room] = p, n
+        want.add((room, r[0], p))
+    for block in (4096, 64, 4):
+        assert {tuple(r) for r in rooms.undo_pointer(df, block).collect()} == want
+    assert rooms.undo_pointer(df.limit(0)).count() == rooms.visible_commands(df.limit(0)).count() == 0
+
+
+def test_a_hot_room_is_dealt_over_blocks(spark):
+    """No group of rows is larger than a block, whatever its room holds."""
+    df = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.expr(
+        "IF(id % 10 = 0, id % 7, 9)").alias("room"), F.expr("element_at(array('draw', 'undo', 'redo'), int(id * 7919 % 3 + 1))").alias("kind"))
+    sizes = []
+
+    class Counting(undo.History):
+        def summary(self, events):
+            assert len(events["kind"]) <= 256
+            return super().summary(events)
+    rows = ordered.sequence_in_key(df, ["room"], rooms.hour(), ["ts"], "place").withColumn("place", F.col("place") - 1)
+    got = scan.scan(rows, "room", "place", ["kind"], Counting(True), ["event_id"], 256).orderBy("event_id").collect()
+    at, length = {}, {}
+    for r in df.orderBy("event_id").collect():
+        p, n = at.get(r["room"], 0), length.get(r["room"], 0)
+        n += r["kind"] == "draw"
+        p = n if r["kind"] == "draw" else max(p - 1, 0) if r["kind"] == "undo" else min(p + 1, n)
+        at[r["room"]], length[r["room"]] = p, n
+        sizes.append(p)
+    assert [r["depth"] for r in got] == sizes
+
+
+def test_histories_compose():
+    """Summaries of any cut, nested or not, act on any state as a replay does."""
+    rng = random.Random(1)
+    for t in range(3000):
+        machine = undo.History(t % 2 == 0)
+        events = rng.choices(["draw", "undo", "redo", None], rng.choice([(1, 1, 1, 0), (1, 8, 6, 0), (3, 2, 1, 1), (0, 5, 4, 0)]),
+                             k=rng.randint(1, 60))
+        cuts = sorted(rng.randint(0, len(events)) for _ in range(4))
+        parts = [machine.summary({"kind": events[a:b]}) for a, b in zip([0, *cuts], [*cuts, len(events)])]
+        depth = rng.randint(0, 30)
+        state = [depth, depth + rng.randint(0, 6)]
+        end = machine.emit({"kind": events}, state)[0][-1]
+        for made in (machine.combine(parts), machine.combine([machine.combine(parts[:2]), machine.combine(parts[2:])])):
+            assert machine.apply(made, state)[0] == end
+
+
+def test_ordered_shuffles_rows_once(spark):
+    """Besides the rows' one exchange there are only those of the table of buckets."""
+    _, df = _events(spark, ["a"], 50)
+    plan = ordered.sequence_in_key(df, ["room"], rooms.hour(), ["ts"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_g") == 2 and "coalesce" not in plan.split("Window")[0]
+
+
 def test_voice_rounds_agree_and_keep_the_rules(spark):
     _, df = _events(spark, ["join", "join", "join", "leave", "mute", "mute_all"])
     whole = {tuple(r) for r in rooms.voice_log(df)[0].collect()}
