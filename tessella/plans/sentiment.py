@@ -45,7 +45,7 @@ def lexicon_matches(spark, d):
     return sn.lexicon_matches(_docs(spark, d), "doc_id")
 
 
-TABLE = """lex AS (SELECT DISTINCT word, (length(word) % 7 - 3) / 4.0 AS weight FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM conversations))"""
+TABLE = """lex AS (SELECT DISTINCT word, (length(word) % 7 - 3) / 4.0 AS weight FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS word FROM conversations))"""
 
 
 @query("lexicon_table_matches", f"""WITH {DOCS}, {TABLE}, pc AS (SELECT doc_id, word, weight, string_split(text, word) AS p FROM docs, lex WHERE contains(text, word))
@@ -53,7 +53,7 @@ SELECT doc_id, word, weight::DOUBLE AS weight, (list_sum(list_transform(p[1:i],
 FROM (SELECT *, unnest(range(1, len(p))) AS i FROM pc)""")
 def lexicon_table_matches(spark, d):
     """Thousands of words, taken from another table."""
-    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("word"))
     lexicon = words.distinct().withColumn("weight", (F.length("word") % 7 - 3) / 4.0)
     return sn.lexicon_matches(_docs(spark, d), "doc_id", lexicon)
 
