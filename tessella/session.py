@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+TIDY_SECONDS = 2.0
+_tidied = 0.0
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files, broadcasts and checkpoints of frames that
+    nobody holds any more. It learns of them when the driver's JVM collects garbage, which a
+    job of many short rounds may not give rise to for long."""
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and drop lineage on shared storage (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
