@@ -75,11 +75,13 @@ def visible_commands(spark, d):
     return rm.visible_commands(_kinds(spark, d, *STACK))
 
 
-@query("undo_pointer", f"""WITH RECURSIVE {NUM}, f AS (
+POINTER = f"""{NUM}, f AS (
 SELECT DISTINCT room, 0::BIGINT AS n, 0::BIGINT AS event_id, 0::BIGINT AS p, 0::BIGINT AS len FROM k
 UNION ALL SELECT f.room, k.n, k.event_id, CASE kind WHEN 'draw' THEN len + 1 WHEN 'undo' THEN greatest(p - 1, 0) ELSE least(p + 1, len) END,
-  CASE kind WHEN 'draw' THEN len + 1 ELSE len END FROM f JOIN k ON k.room = f.room AND k.n = f.n + 1)
-SELECT room, event_id, p AS pointer FROM f WHERE n > 0""")
+  CASE kind WHEN 'draw' THEN len + 1 ELSE len END FROM f JOIN k ON k.room = f.room AND k.n = f.n + 1)"""
+
+
+@query("undo_pointer", f"WITH RECURSIVE {POINTER} SELECT room, event_id, p AS pointer FROM f WHERE n > 0")
 def undo_pointer(spark, d):
     return rm.undo_pointer(_kinds(spark, d, *STACK))
 
@@ -267,8 +269,50 @@ def room_activity_stream(spark, d):
     return spark.read.parquet(f"{path}/data").withColumn("window_start", _stamp("window_start"))
 
 
-@query("command_sequence_stream", SEQ)
-def command_sequence_stream(spark, d):
-    path = _scratch(spark, "sequence")
-    st.run_available(st.numbered(_stream(spark, d).where(rm.valid_command())), path)
+# A stream gives out what the watermark has passed: here all but the last ten minutes.
+PASSED = "event_id IN (SELECT event_id FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))"
+
+
+def _streamed(spark, stream, name):
+    path = _scratch(spark, name)
+    st.run_available(stream, path)
     return spark.read.parquet(f"{path}/data")
+
+
+@query("command_sequence_stream", f"WITH s AS ({SEQ}) SELECT * FROM s WHERE {PASSED}")
+def command_sequence_stream(spark, d):
+    return _streamed(spark, st.numbered(_stream(spark, d).where(rm.valid_command())), "sequence")
+
+
+def _kind_stream(spark, d, *kinds):
+    ev = st.event_source(spark, d, STREAM_SCHEMA, "events.parquet")
+    return ev.select("event_id", "ts", "user_id", (F.col("user_id") % 10).alias("room"),
+                     F.expr(CASE.format(*[f"'{k}'" for k in kinds])).alias("kind"))
+
+
+@query("undo_pointer_stream", f"""WITH RECURSIVE {POINTER}, p AS (SELECT room, event_id, p AS pointer FROM f WHERE n > 0) SELECT * FROM p WHERE {PASSED}""")
+def undo_pointer_stream(spark, d):
+    return _streamed(spark, st.undo_pointer(_kind_stream(spark, d, *STACK)), "pointer")
+
+
+@query("cursor_latest_stream", f"""SELECT user_id % 10 AS room, user_id, arg_max(value, (ts, event_id)) AS x, arg_max(event_id % 1080, (ts, event_id)) AS y
+FROM events WHERE {PASSED} GROUP BY ALL""")
+def cursor_latest_stream(spark, d):
+    ev = st.event_source(spark, d, STREAM_SCHEMA, "events.parquet")
+    moves = ev.select("event_id", "ts", "user_id", (F.col("user_id") % 10).alias("room"), F.col("value").alias("x"),
+                      (F.col("event_id") % 1080).alias("y"))
+    found = _streamed(spark, st.cursor_moves(moves), "moves")
+    return found.groupBy("room", "user_id").agg(F.max_by(F.struct("x", "y"), "n").alias("p")).select("room", "user_id", "p.x", "p.y")
+
+
+@query("network_summary_stream", f"""WITH w AS (SELECT user_id % 10 AS room, time_bucket(INTERVAL 1 HOUR, ts) AS ws, avg(value * 3) AS rtt, avg(event_id % 60) AS jitter,
+sum(event_id % 13)::BIGINT AS lost, count(DISTINCT user_id) AS peers FROM events GROUP BY ALL)
+SELECT room, {TS.format('ws')} AS window_start, round(rtt, 6) AS avg_rtt, round(jitter, 6) AS avg_jitter, lost AS packets_lost, peers FROM w
+WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def network_summary_stream(spark, d):
+    ev = st.event_source(spark, d, STREAM_SCHEMA, "events.parquet")
+    stats = ev.select("ts", "user_id", (F.col("user_id") % 10).alias("room"), (F.col("value") * 3).alias("rtt"),
+                      (F.col("event_id") % 60).alias("jitter"), (F.col("event_id") % 13).alias("lost"))
+    return _streamed(spark, st.network_summary(stats), "network").select(
+        "room", _stamp("window_start"), F.round("avg_rtt", 6).alias("avg_rtt"), F.round("avg_jitter", 6).alias("avg_jitter"),
+        "packets_lost", "peers")

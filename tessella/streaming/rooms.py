@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from tessella.operators.undo import History
+
 
-def event_source(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet") -> DataFrame:
-    """New Parquet files of a folder; on a cluster the same schema from Kafka."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def event_source(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files: int = 1000) -> DataFrame:
+    """New Parquet files of a folder, `files` to a batch; on a cluster the same schema from Kafka."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -21,26 +26,156 @@ def windowed_activity(commands: DataFrame, late: str = "10 minutes", every: str
             .select("room", "command_type", F.col("w.start").alias("window_start"), "commands"))
 
 
-class Numbering(StatefulProcessor):
-    """A counter per room: the next sequence is the last plus one."""
+Step = Callable[[tuple, object], tuple[object, list[tuple]]]
+"""(row, state) → (next state, what the row gives); states are values that JSON can hold."""
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of (time, id), whatever files and batches bring them.
+
+    A row waits in the state store until the watermark has passed its time, to the
+    millisecond; a timer then takes all rows that are due, sorts them and feeds them to
+    the state machine. No row that is still accepted can come before them: the
+    watermark holds for all keys, and rows at or before it are late and dropped. What
+    waits is as much as arrives within the allowed lateness."""
+
+    def __init__(self, columns: list[str], schema: str, start: object, step: Step, out: list[str]):
+        self.columns, self.schema, self.start, self.step, self.out = columns, schema, start, step, out
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.state = handle.getValueState("state", "body string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = []
+        for part in rows:
+            at = part["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
+            cells = part[["event_id", *self.columns]].astype(object)
+            cells = cells.where(cells.notna(), None)
+            new += [(int(t), *r) for t, r in zip(at, cells.itertuples(index=False, name=None)) if t > passed]
+        if new:
+            self.waiting.appendList(new)
+            self.wake(min(r[0] for r in new))
+        return iter([])
+
+    def wake(self, at: int) -> None:
+        """One timer a key, at the first time that waits."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] <= passed]
+        state = json.loads(self.state.get()[0]) if self.state.exists() else self.start
+        out = []
+        for row in due:
+            state, given = self.step(row, state)
+            out += given
+        self.state.update((json.dumps(state),))
+        if len(due) < len(rows):
+            self.waiting.put(rows[len(due):])
+            self.wake(rows[len(due)][0])
+        else:
+            self.waiting.clear()
+        if out:
+            columns = [pd.Series(c) for c in zip(*out)]
+            yield pd.DataFrame({**{f"_k{i}": [k] * len(out) for i, k in enumerate(key)}, **dict(zip(self.out, columns))})
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], start: object, step: Step, out: str,
+             late: str = "10 minutes") -> DataFrame:
+    """keys and `out` (a schema) for what step makes of the rows (ts, event_id, columns) of
+    each key, taken in order."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [f.split()[0] for f in out.split(", ")]
+    waiting = ", ".join(["at long", "id long", *[f"{c} {kinds[c]}" for c in columns]])
+    machine = InOrder(columns, waiting, start, step, names)
+    found = (rows.withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(
+        machine, ", ".join([f"_k{i} {kinds[k]}" for i, k in enumerate(keys)] + [out]), "Append", "EventTime"))
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *names)
+
+
+def numbered(commands: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(room, event_id, sequence): the next number of the room."""
+    return in_order(commands, ["room"], [], 0, lambda row, n: (n + 1, [(row[1], n + 1)]), "event_id long, sequence long", late)
+
+
+def depths(events: DataFrame, log: bool, late: str = "10 minutes") -> DataFrame:
+    """(room, event_id, kind, place, depth) after each event, as rooms.depths in batch."""
+    machine = History(log)
+
+    def step(row: tuple, state: list) -> tuple[list, list[tuple]]:
+        _, event, kind = row
+        depth = machine.emit({"kind": [kind]}, state[:2])[0][0]
+        drawn = kind not in ("undo", "redo")
+        top = depth if drawn else state[1]
+        return [depth, top, state[2] + 1], [(event, kind, state[2], depth)]
+    return in_order(events, ["room"], ["kind"], [0, 0, 0], step, "event_id long, kind string, place long, depth long", late)
+
+
+def undo_pointer(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    return depths(events, True, late).select("room", "event_id", F.col("depth").alias("pointer"))
+
+
+def cursor_moves(moves: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(room, user_id, n, x, y): every position in order; the one of highest n is the latest."""
+    return in_order(moves, ["room", "user_id"], ["x", "y"], 0,
+                    lambda row, n: (n + 1, [(n + 1, row[2], row[3])]), "n long, x double, y long", late)
+
+
+class Summaries(StatefulProcessor):
+    """Sums and distinct users of a window, given out once the watermark has passed its end."""
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "n long")
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "rtt double, jitter double, lost long, n long")
+        self.users = handle.getMapState("users", "user_id long", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        rtt, jitter, lost, n = self.sums.get() if self.sums.exists() else (0.0, 0.0, 0, 0)
+        for part in rows:
+            rtt, jitter = rtt + float(part["rtt"].sum()), jitter + float(part["jitter"].sum())
+            lost, n = lost + int(part["lost"].sum()), n + len(part)
+            for user in part["user_id"].unique().tolist():
+                if not self.users.containsKey((user,)):
+                    self.users.updateValue((user,), (True,))
+        self.sums.update((rtt, jitter, lost, n))
+        self.handle.registerTimer(int(pd.Timestamp(key[2]).value // 1_000_000))
+        return iter([])
 
-    def handleInputRows(self, key, rows, timer_values):
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        start = self.last.get()[0] if self.last.exists() else 0
-        self.last.update((start + len(batch),))
-        yield pd.DataFrame({"room": key[0], "event_id": batch["event_id"],
-                            "sequence": range(start + 1, start + len(batch) + 1)})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rtt, jitter, lost, n = self.sums.get()
+        peers = sum(1 for _ in self.users.keys())
+        self.sums.clear()
+        self.users.clear()
+        yield pd.DataFrame({"room": [key[0]], "window_start": [key[1]], "avg_rtt": [rtt / n], "avg_jitter": [jitter / n],
+                            "packets_lost": [lost], "peers": [peers]})
 
     def close(self) -> None:
         pass
 
 
-def numbered(commands: DataFrame) -> DataFrame:
-    return commands.groupBy("room").transformWithStateInPandas(
-        Numbering(), "room long, event_id long, sequence long", "Append", "none")
+def network_summary(stats: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
+    """As rooms.network_summary in batch, window by window; distinct users are counted
+    exactly, which windowed aggregates of a stream cannot."""
+    rows = stats.withWatermark("ts", late).withColumn("_w", F.window("ts", every)).select(
+        "room", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "ts", "user_id", "rtt", "jitter", "lost")
+    kind = dict(stats.dtypes)["room"]
+    return rows.groupBy("room", "window_start", "window_end").transformWithStateInPandas(
+        Summaries(), f"room {kind}, window_start timestamp, avg_rtt double, avg_jitter double, packets_lost long, peers long",
+        "Append", "EventTime")
 
 
 def run_available(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -144,3 +144,57 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
         st.run_available(st.windowed_activity(st.event_source(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"))
     got = {r["window_start"].hour: r["commands"] for r in spark.read.parquet(str(tmp_path / "out/data")).collect()}
     assert got[0] == 2 and got[3] == 1
+
+
+def _write_out_of_order(spark, df, path, parts=5):
+    """Several files, each its own batch, rows shuffled over neighbouring files."""
+    rows = sorted(df.collect(), key=lambda r: r["ts"])
+    rng = random.Random(3)
+    files = [[] for _ in range(parts)]
+    for k, r in enumerate(rows):
+        at = k * parts // len(rows)
+        files[min(parts - 1, at + (k % (len(rows) // parts) > 0.8 * len(rows) / parts and rng.random() < 0.5))].append(r)
+    for f in files:
+        rng.shuffle(f)
+        spark.createDataFrame(f, df.schema).coalesce(1).write.mode("append").parquet(path)
+    assert any(a["ts"] > b["ts"] for f, g in zip(files, files[1:]) for a in f for b in g)
+
+
+def test_streams_in_event_time_equal_batch(spark, tmp_path):
+    """Late rows within the allowed lateness are put in order; the result is the batch result
+    up to the last watermark."""
+    _, df = _events(spark, ["draw", "draw", "undo", "undo", "redo"], 400)
+    df = df.withColumn("x", F.col("event_id") * 1.5).withColumn("y", F.col("event_id") % 7).withColumn(
+        "rtt", F.col("event_id") * 1.0).withColumn("jitter", F.lit(2)).withColumn("lost", F.col("event_id") % 3)
+    path, late = str(tmp_path / "in"), "1500 minutes"
+    _write_out_of_order(spark, df, path)
+    source = lambda: st.event_source(spark, path, df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), files=1)
+    last = df.agg(F.max("ts")).first()[0] - datetime.timedelta(minutes=1500)
+    done = df.where(F.col("ts") <= F.lit(last))
+
+    def both(stream, batch, name):
+        st.run_available(stream, str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name / "data"))
+        assert sorted(map(str, got.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+        return got
+    both(st.numbered(source(), late), ordered.sequence_in_key(done, ["room"], rooms.hour(), ["ts", "event_id"], "sequence").select(
+        "room", "event_id", "sequence"), "numbers")
+    both(st.undo_pointer(source(), late), rooms.undo_pointer(done), "pointer")
+    both(st.depths(source(), False, late), rooms.depths(done, False).select("room", "event_id", "kind", "place", "depth"), "depth")
+    st.run_available(st.cursor_moves(source(), late), str(tmp_path / "moves"))
+    moves = spark.read.parquet(str(tmp_path / "moves/data"))
+    latest = moves.groupBy("room", "user_id").agg(F.max_by(F.struct("x", "y"), "n").alias("p")).select("room", "user_id", "p.x", "p.y")
+    assert sorted(map(str, latest.collect())) == sorted(map(str, rooms.cursor_latest(done).collect()))
+    whole = rooms.network_summary(df).where(F.col("window_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(last))
+    both(st.network_summary(source(), late), whole, "network")
+
+
+def test_rows_behind_the_watermark_are_dropped_not_put_in_between(spark, tmp_path):
+    schema, t0 = "event_id long, ts timestamp, room long, kind string", datetime.datetime(2024, 1, 1)
+    for rows in ([(1, 0, "draw"), (2, 50, "draw"), (3, 300, "draw")], [(4, 10, "undo"), (5, 310, "draw"), (6, 900, "draw")]):
+        spark.createDataFrame([(i, t0 + datetime.timedelta(minutes=m), 1, k) for i, m, k in rows], schema).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+        source = st.event_source(spark, str(tmp_path / "in"), schema)
+        st.run_available(st.numbered(source), str(tmp_path / "out"))
+    got = {r["event_id"]: r["sequence"] for r in spark.read.parquet(str(tmp_path / "out/data")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 5: 4}
