@@ -17,6 +17,7 @@ from tessella.data import filetypes as ft
 from tessella.functions import files as fx
 from tessella.functions.bounds import fixed_table
 from tessella.functions.rows import unnest
+from tessella.session import cut
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -162,21 +163,92 @@ def crowded_dirs(files: DataFrame, threshold: int = 30) -> DataFrame:
     return direct_counts(files).where(F.col("files") > threshold)
 
 
-def anomalies(files: DataFrame, root: str) -> DataFrame:
-    """(type, severity, path) findings."""
-    stats = directory_stats(files, root)
-
-    def finding(df: DataFrame, kind: str, severity: str, path: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
-                         path.alias("path"))
+FLAGS = ("root_files", "flat_code", "docs", "images", "tests_in_place", "stray_tests")
+
+
+def inventory_facts(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(kind, a, b, n, path, depth and a column per flag): every count that findings and
+    recommendations need, from one pass over the files and one over the edges. A file
+    gives a row for each group it counts in; rows are combined where they arise, so what is
+    shuffled and kept is a row per directory, style and large file.
+
+    Kinds: all; parent (a: directory); naming (a: style) and style (a: extension, b: style)
+    of code with an extension; code_dir (a: directory); large (a: path); dst (a: file that
+    others import); link (a: directory, b: whether the import stays in it)."""
+    shallow, code = F.col("depth") <= 1, F.col("category") == "code"
+    test, none = code & (F.col("naming") == "test_file"), F.lit(None).cast("string")
+    flag = dict(zip(FLAGS, (
+        (F.col("depth") == 1) & F.col("category").isin("code", "document", "image", "audio", "video"),
+        shallow & code, shallow & (F.col("category") == "document") & (F.col("naming") != "project_doc"),
+        shallow & (F.col("category") == "image"), test & F.lower(fx.base_name(F.col("parent"))).contains("test"),
+        test & (F.col("depth") <= 2))))
+
+    def group(kind: str, a: Column, b: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    named = code & (F.col("extension") != "")
+    groups = F.array(group("all", none), group("parent", F.col("parent")), F.when(named, group("naming", F.col("naming"))),
+                     F.when(named, group("style", F.col("extension"), F.col("naming"))),
+                     F.when(code, group("code_dir", F.col("parent"))),
+                     F.when(F.col("size") > ft.LARGE_FILE, group("large", F.col("path"))))
+    # Category and naming come out of a generator, so that the conditions read them instead of repeating them.
+    one = F.explode(F.array(F.struct(fx.category(F.col("extension")).alias("category"), fx.naming_pattern(F.col("name")).alias("naming"))))
+    told = files.select("path", "depth", "parent", "extension", "size", one.alias("_c")).select("*", "_c.category", "_c.naming")
+    rows = told.select("path", "depth", *[F.coalesce(c, F.lit(False)).alias(f) for f, c in flag.items()],
+                                   F.explode(F.array_compact(groups)).alias("g"))
+    facts = rows.groupBy("g.kind", "g.a", "g.b").agg(
+        F.count("*").alias("n"), F.min("path").alias("path"), F.max("depth").cast("long").alias("depth"),
+        *[F.count_if(f).alias(f) for f in FLAGS])
+    if edges is not None:
+        here, there = fx.dir_name(F.col("src")), fx.dir_name(F.col("dst"))
+        links = edges.select(F.explode(F.array(group("dst", F.col("dst")), group("link", here, (here == there).cast("string")))).alias("g"))
+        facts = facts.unionByName(links.groupBy("g.kind", "g.a", "g.b").agg(F.count("*").alias("n")), allowMissingColumns=True)
+    return cut(facts)
+
+
+def _of(facts: DataFrame, kind: str) -> DataFrame:
+    return facts.where(F.col("kind") == kind)
+
+
+def _directories(facts: DataFrame, root: str) -> DataFrame:
+    return directories(_of(facts, "parent").select(F.col("a").alias("parent")), root)
+
+
+def _totals(facts: DataFrame, root: str) -> DataFrame:
+    """One row: the flags, files, max_depth, crowded directories, naming score and styles,
+    imported files, directories and files per directory."""
+    kind = F.col("kind")
+    n_dirs = _directories(facts, root).select(F.count("*").alias("n")).scalar()
+    naming = F.when(kind == "naming", F.col("n"))
+    row = facts.agg(*[F.sum(F.when(kind == "all", F.col(f))).alias(f) for f in FLAGS],
+                    F.sum(F.when(kind == "all", F.col("n"))).alias("files"), F.max(F.when(kind == "all", F.col("depth"))).alias("max_depth"),
+                    F.count_if((kind == "parent") & (F.col("n") > 30)).alias("crowded"),
+                    (F.max(naming) / F.sum(naming)).alias("score"), F.count(naming).alias("styles"),
+                    F.count_if((kind == "dst") & (F.col("n") >= 3)).alias("hot"))
+    return row.withColumn("avg_files_per_dir", F.col("files") / F.greatest(n_dirs, F.lit(1)))
+
+
+def _findings(facts: DataFrame, root: str) -> DataFrame:
+    """(type, severity, path)."""
+    totals = _totals(facts, root)
     none = F.lit(None).cast("string")
-    flat = described(files).where("depth <= 1 AND category = 'code'").agg(F.count("*").alias("n"))
+
+    def finding(df: DataFrame, kind: str, severity: str, path: Column = none) -> DataFrame:
+        return df.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), path.alias("path"))
+    dirs = _directories(facts, root)
+    inner = dirs.select(F.col("above").alias("directory")).distinct()
+    sparse = (dirs.join(_of(facts, "parent").select(F.col("a").alias("directory"), "n"), "directory", "left")
+              .where(F.coalesce("n", F.lit(0)) <= 1).join(inner, "directory", "left_anti"))
     return reduce(DataFrame.unionByName, [
-        finding(stats.where("avg_files_per_dir > 50"), "too_many_files_per_dir", "warning", none),
-        finding(stats.where("max_depth > 10"), "deep_nesting", "warning", none),
-        finding(large_files(files), "large_file", "info", F.col("path")),
-        finding(sparse_dirs(files, root), "empty_or_single_file_dir", "info", F.col("directory")),
-        finding(flat.where("n > 10"), "flat_code_structure", "warning", none)])
+        finding(totals.where("avg_files_per_dir > 50"), "too_many_files_per_dir", "warning"),
+        finding(totals.where("max_depth > 10"), "deep_nesting", "warning"),
+        finding(_of(facts, "large").select(F.explode(F.array_repeat("a", F.col("n").cast("int"))).alias("a")), "large_file", "info", F.col("a")),
+        finding(sparse, "empty_or_single_file_dir", "info", F.col("directory")),
+        finding(totals.where("flat_code > 10"), "flat_code_structure", "warning")])
+
+
+def anomalies(files: DataFrame, root: str) -> DataFrame:
+    """(type, severity, path) findings."""
+    return _findings(inventory_facts(files), root)
 
 
 # --------------------------------------------------------------- recommendations
@@ -192,56 +264,38 @@ def severity_rank(severity: Column) -> Column:
 
 
 def recommendations(files: DataFrame, edges: DataFrame, root: str) -> DataFrame:
-    """(type, severity, area, affected, path) rows. All thresholds over files
-    come from one aggregation; the remaining ones are small tables."""
-    rows = described(files)
-    code = rows.where("category = 'code'")
-    root_level, shallow = F.col("depth") == 1, F.col("depth") <= 1
-    test = (F.col("category") == "code") & (F.col("naming") == "test_file")
-    facts = rows.agg(
-        F.count_if(root_level & F.col("category").isin("code", "document", "image", "audio", "video")).alias("root_files"),
-        F.count_if(shallow & (F.col("category") == "code")).alias("flat_code"),
-        F.count_if(shallow & (F.col("category") == "document") & (F.col("naming") != "project_doc")).alias("docs"),
-        F.count_if(shallow & (F.col("category") == "image")).alias("images"),
-        F.count_if(test & F.lower(fx.base_name(F.col("parent"))).contains("test")).alias("tests_in_place"),
-        F.count_if(test & (F.col("depth") <= 2)).alias("stray_tests"))
-    stats = directory_stats(files, root)
-    crowded = crowded_dirs(files).agg(F.count("*").alias("crowded"))
-    naming = naming_consistency(code)
-    outliers = naming_outliers(code).agg(F.least(F.count("*"), F.lit(20)).alias("outliers"))
-    modules = module_cohesion(edges, code).where("is_module").agg(F.count("*").alias("modules"))
-    hot = (edges.groupBy("dst").agg(F.count("*").alias("d")).where("d >= 3")
-           .agg(F.count("*").alias("hot")))
-
-    def one(df: DataFrame, col: str) -> Column:
-        return df.select(col).scalar()
-    n_modules, n_hot = one(modules, "modules"), one(hot, "hot")
+    """(type, severity, area, affected, path, rank) rows, all from one table of facts."""
+    facts = inventory_facts(files, edges)
+    styles = _of(facts, "style").groupBy("a").agg(F.count("*").alias("styles"), F.count_if(F.col("n") == 1).alias("lone"))
+    outliers = styles.where("styles > 1").agg(F.coalesce(F.sum("lone"), F.lit(0)).alias("n")).scalar()
+    inside = F.when((F.col("kind") == "link") & (F.col("b") == "true"), F.col("n")).otherwise(0)
+    per_dir = facts.where("kind IN ('code_dir', 'link')").groupBy("a").agg(
+        F.sum(F.when(F.col("kind") == "code_dir", F.col("n")).otherwise(0)).alias("files"), F.sum(inside).alias("internal"))
+    modules = per_dir.agg(F.when(F.sum("files") >= 3, F.count_if((F.col("files") >= 2) & (F.col("internal") >= F.col("files")))).otherwise(0).alias("n")).scalar()
+    rows = _totals(facts, root).withColumns({"outliers": F.least(outliers, F.lit(20)), "modules": modules})
+    col, zero = F.col, F.lit(0)
     # (type, severity, area, condition, affected)
     rules = [
-        ("directory_structure", "warning", "structure",
-         (one(stats, "avg_files_per_dir") > 30) & (one(crowded, "crowded") > 0), one(crowded, "crowded")),
-        ("deep_nesting", "warning", "structure", one(stats, "max_depth") > 8, F.lit(0)),
-        ("file_categorization", "warning", "organization", F.col("root_files") > 5, F.col("root_files")),
-        ("code_organization", "warning", "organization", F.col("flat_code") > 10, F.col("flat_code")),
-        ("document_organization", "info", "organization", F.col("docs") > 3, F.col("docs")),
-        ("asset_organization", "info", "organization", F.col("images") > 3, F.col("images")),
-        ("naming_inconsistency", "warning", "naming", one(naming, "score") < 0.5, one(outliers, "outliers")),
-        ("multiple_naming_styles", "info", "naming", one(naming, "styles") > 3, F.lit(0)),
-        ("module_detection", "info", "architecture", n_modules > 0, F.lit(0)),
-        ("dependency_hotspots", "info", "architecture", (n_modules > 0) & (n_hot > 0),
-         F.least(n_hot, F.lit(5))),
-        ("test_organization", "info", "organization",
-         (F.col("tests_in_place") == 0) & (F.col("stray_tests") > 0), F.col("stray_tests")),
+        ("directory_structure", "warning", "structure", (col("avg_files_per_dir") > 30) & (col("crowded") > 0), col("crowded")),
+        ("deep_nesting", "warning", "structure", col("max_depth") > 8, zero),
+        ("file_categorization", "warning", "organization", col("root_files") > 5, col("root_files")),
+        ("code_organization", "warning", "organization", col("flat_code") > 10, col("flat_code")),
+        ("document_organization", "info", "organization", col("docs") > 3, col("docs")),
+        ("asset_organization", "info", "organization", col("images") > 3, col("images")),
+        ("naming_inconsistency", "warning", "naming", col("score") < 0.5, col("outliers")),
+        ("multiple_naming_styles", "info", "naming", col("styles") > 3, zero),
+        ("module_detection", "info", "architecture", col("modules") > 0, zero),
+        ("dependency_hotspots", "info", "architecture", (col("modules") > 0) & (col("hot") > 0), F.least(col("hot"), F.lit(5))),
+        ("test_organization", "info", "organization", (col("tests_in_place") == 0) & (col("stray_tests") > 0), col("stray_tests")),
     ]
-    made = facts.select(F.explode(F.array_compact(F.array(*[
+    made = rows.select(F.explode(F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), F.lit(a).alias("area"),
                               n.cast("long").alias("affected"))) for t, s, a, cond, n in rules]))).alias("r"))
-    found = anomalies(files, root)
     area = F.create_map(*[F.lit(x) for kv in ANOMALY_GROUPS.items() for x in kv])
     return made.select("r.*", F.lit(None).cast("string").alias("path")).unionByName(
-        found.select(F.concat(F.lit("anomaly_"), "type").alias("type"), "severity",
-                     F.element_at(area, F.col("type")).alias("area"),
-                     F.col("path").isNotNull().cast("long").alias("affected"), "path")
+        _findings(facts, root).select(F.concat(F.lit("anomaly_"), "type").alias("type"), "severity",
+                                      F.element_at(area, F.col("type")).alias("area"),
+                                      F.col("path").isNotNull().cast("long").alias("affected"), "path")
     ).withColumn("rank", severity_rank(F.col("severity")))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 
 def _buckets(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
     """Adds `_g`, key and bucket as one value: never NULL itself, with equal NULLs inside.
@@ -42,6 +44,15 @@ def sequence_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[
             .drop("_g", "_r", "_off"))
 
 
+def sequence_by_range(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
+    """The same without a bucket to go by: rows are dealt out by sampled splitters of keys
+    and order together, so a key, or a key's part, that holds most rows is cut as finely
+    as it needs; partitions are the buckets. order should tell the rows of a key apart."""
+    dealt = cut(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*keys, *order]])
+                .withColumn("_p", F.spark_partition_id()))  # kept, as splitters differ from run to run
+    return sequence_in_key(dealt, keys, F.col("_p"), [F.col(c).asc_nulls_first() for c in order], name).drop("_p")
+
+
 def running_sum_in_key(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
                        value: Column, name: str) -> DataFrame:
     rows = _buckets(df, keys, bucket).withColumn("_v", value)

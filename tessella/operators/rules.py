@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessella.data import filetypes as ft
 from tessella.functions import files as fx
 from tessella.functions.rows import unnest
-from tessella.operators.ordered import running_sum_in_key, sequence_in_key
+from tessella.operators.ordered import running_sum_in_key, sequence_by_range, sequence_in_key
 
 MAX_RULE_ROWS = 20_000
 
@@ -210,8 +210,7 @@ def target_collisions(moves: DataFrame, existing: DataFrame, block: int = 1000)
     slots = sequence_in_key(taken, ["target"], F.floor(F.col("t") / block), ["t"]).select(
         "target", F.lit(None).cast("string").alias("source"),
         (F.col("t") - F.col("seq") + 1).alias("pos"), F.lit(0).alias("kind"))
-    ranked = sequence_in_key(moves.withColumn("_d", fx.dir_name(F.col("source"))), ["target"],
-                             F.col("_d"), ["_d", "source"]).select(
+    ranked = sequence_by_range(moves.withColumn("_d", fx.dir_name(F.col("source"))), ["target"], ["_d", "source"]).select(
         "target", "source", (F.col("seq") - 1).alias("pos"), F.lit(1).alias("kind"))
     line = running_sum_in_key(slots.unionByName(ranked), ["target"], F.floor(F.col("pos") / block),
                               ["pos", "kind", "source"], (F.col("kind") == 0).cast("long"), "before")

@@ -8,8 +8,10 @@ from tessella.data import filetypes as ft
 from tessella.functions import files as fx
 from tessella.operators import inventory as inv
 from tessella.plans import contracts as c
+from tessella.plans.habits import _scratch
 from tessella.plans.registry import query
 from tessella.plans.sqlparts import values, word_list
+from tessella.sources import snapshots
 from tessella.sources.tables import table
 
 ROOT = c.FILE_ROOT
@@ -222,7 +224,7 @@ def inventory_anomalies(spark, d):
     return inv.anomalies(_files(spark, d), ROOT)
 
 
-@query("recommendations", f"""WITH {EDGES}, {DIRS}, {SPARSE}, {ANOM}, {NCONS},
+RECOMMENDED = f"""{EDGES}, {DIRS}, {SPARSE}, {ANOM}, {NCONS},
 k AS (SELECT count(*) FILTER (depth = 1 AND category IN ('code', 'document', 'image', 'audio', 'video')) AS root_files,
   count(*) FILTER (depth <= 1 AND category = 'code') AS flat_code,
   count(*) FILTER (depth <= 1 AND category = 'document' AND naming <> 'project_doc') AS docs,
@@ -242,10 +244,13 @@ UNION ALL SELECT 'naming_inconsistency', 'warning', 'naming', least(20, (SELECT
 UNION ALL SELECT 'multiple_naming_styles', 'info', 'naming', 0 FROM nc WHERE styles > 3
 UNION ALL SELECT 'module_detection', 'info', 'architecture', 0 FROM md WHERE n > 0
 UNION ALL SELECT 'dependency_hotspots', 'info', 'architecture', least(5, hot.n) FROM md, hot WHERE md.n > 0 AND hot.n > 0
-UNION ALL SELECT 'test_organization', 'info', 'organization', stray FROM k WHERE placed = 0 AND stray > 0)
-SELECT type, severity, area, affected, NULL AS path, CASE severity WHEN 'warning' THEN 2 ELSE 3 END::BIGINT AS rank FROM r
+UNION ALL SELECT 'test_organization', 'info', 'organization', stray FROM k WHERE placed = 0 AND stray > 0),
+recs AS (SELECT type, severity, area, affected, NULL AS path, CASE severity WHEN 'warning' THEN 2 ELSE 3 END::BIGINT AS rank FROM r
 UNION ALL SELECT 'anomaly_' || type, severity, CASE type WHEN 'large_file' THEN 'performance' WHEN 'flat_code_structure' THEN 'organization' ELSE 'structure' END,
-  (path IS NOT NULL)::BIGINT, path, CASE severity WHEN 'warning' THEN 2 ELSE 3 END::BIGINT FROM anom""")
+  (path IS NOT NULL)::BIGINT, path, CASE severity WHEN 'warning' THEN 2 ELSE 3 END::BIGINT FROM anom)"""
+
+
+@query("recommendations", f"WITH {RECOMMENDED} SELECT * FROM recs")
 def recommendations(spark, d):
     return inv.recommendations(_files(spark, d), _edges(spark, d), ROOT)
 
@@ -275,8 +280,11 @@ SEED = values([(k, f"智能推荐 - {lb}归类", 50, "extension", e, fo) for k,
               "present, name, priority, condition_type, condition_value, target_dir")
 
 
-@query("suggested_rules", f"""{W} SELECT name, priority, condition_type, condition_value, target_dir FROM {SEED} s
-WHERE present IN (SELECT category FROM f) OR present IN (SELECT naming FROM f WHERE naming = 'test_file')""")
+SUGGESTED = f"""SELECT name, priority, condition_type, condition_value, target_dir FROM {SEED} s
+WHERE present IN (SELECT category FROM f) OR present IN (SELECT naming FROM f WHERE naming = 'test_file')"""
+
+
+@query("suggested_rules", f"{W} {SUGGESTED}")
 def suggested_rules(spark, d):
     return inv.suggested_rules(_files(spark, d), spark)
 
@@ -315,8 +323,12 @@ def _diff(spark, d):
     sig = F.md5(F.concat_ws("|", "path", "size")).alias("signature")
     new = rows.where("n % 10 <> 5").select("path", sig, "size", "category")
     grown = F.when(F.col("n") % 10 == 4, F.col("size") + 30000 * (F.col("n") % 90)).otherwise(F.col("size"))
-    old = rows.where("n % 10 <> 3").withColumn("size", grown).select("path", sig, "size")
-    return inv.snapshot_diff(old, new)
+    old = rows.where("n % 10 <> 3").withColumn("size", grown).select("path", sig, "size", "category")
+    path = _scratch(spark, "snapshots")
+    first = snapshots.save(old, path)
+    old.limit(1).write.parquet(f"{path}/data-of-a-writer-that-failed")  # rows without a manifest are in no snapshot
+    second = snapshots.save(new, path)
+    return inv.snapshot_diff(snapshots.load(spark, path, first), snapshots.load(spark, path, second))
 
 
 @query("snapshot_diff", f"WITH {SNAP} SELECT * FROM diff")

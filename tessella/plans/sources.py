@@ -13,21 +13,47 @@ from tessella.sources import exports, files
 from tessella.sources.tables import table
 
 
-@query("corpus_scan", "SELECT item_id, md5(text || chr(10)) AS content FROM benchmark")
-def corpus_scan(spark, d):
+PER_FILE = 25  # texts of a file
+CLEAN = "regexp_replace(text, '[^ -~]', '', 'g')"
+FILES = f"""t AS (SELECT item_id // {PER_FILE} AS f, string_agg({CLEAN} || '北京', chr(10) ORDER BY item_id) AS content FROM benchmark GROUP BY ALL)"""
+
+
+def _corpus(spark, d):
+    """Files of several texts each: every other one in GBK, every third one's last byte cut off."""
     path = _scratch(spark, "corpus")
-    table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
-    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long")
-    return files.corpus_scan(spark, path, "TXT").select(item.alias("item_id"), F.md5("content").alias("content"))
+    texts = table(spark, d, "benchmark").select(
+        F.expr(f"item_id div {PER_FILE}").alias("f"), "item_id", F.concat(F.regexp_replace("text", "[^ -~]", ""), F.lit("北京")).alias("text"))
+    rows = texts.groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda x: x.text), "\n").alias("text"))
+    raw = F.when(F.col("f") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "GBK"))
+    whole = rows.select(F.concat(F.lit("part-"), "f", F.when(F.col("f") % 3 == 0, ".txt").otherwise(".TXT")).alias("name"),
+                        raw.alias("content"), F.lit(None).cast("string").alias("encoding"))
+    broken = rows.select(F.concat(F.lit("sub/broken-"), "f", F.lit(".txt")).alias("name"),
+                         F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFF"))).alias("content"), F.lit(None).cast("string").alias("encoding"))
+    other = rows.select(F.concat(F.lit("notes-"), "f", F.lit(".md")).alias("name"), raw.alias("content"), F.lit(None).cast("string").alias("encoding"))
+    files.write_files(whole.unionByName(broken).unionByName(other), path)
+    return path
 
 
-@query("folder_inventory", "SELECT item_id, 'txt' AS extension, strlen(text) + 1 AS size, 2 AS depth FROM benchmark")
+@query("corpus_scan", f"""WITH {FILES} SELECT 'part-' || f || CASE f % 3 WHEN 0 THEN '.txt' ELSE '.TXT' END AS name, md5(content) AS content,
+CASE f % 2 WHEN 0 THEN 'utf-8' ELSE 'gbk' END AS encoding, NULL AS error FROM t
+UNION ALL SELECT 'broken-' || f || '.txt', NULL, NULL, 'neither utf-8 nor gbk' FROM t
+UNION ALL SELECT 'gone-' || f || '.txt', NULL, NULL, 'FileNotFoundError' FROM t""")
+def corpus_scan(spark, d):
+    """Whole, broken and missing files; names that are on a list but in no folder are missing."""
+    path = _corpus(spark, d)
+    columns = ("name", F.md5("content").alias("content"), "encoding", "error")
+    found = files.corpus(spark, path=path, extension="TXT").select(*columns)
+    listed = table(spark, d, "benchmark").select(F.expr(f"item_id div {PER_FILE}").alias("f")).distinct().collect()
+    gone = files.corpus(spark, paths="\n".join(f"{path}/gone-{r['f']}.txt" for r in listed)).select(*columns)
+    return found.unionByName(gone)
+
+
+@query("folder_inventory", f"""WITH {FILES}, n AS (SELECT f, strlen(content) + (CASE f % 2 WHEN 0 THEN 0 ELSE -1 END) * 2 * (len(content) - len(replace(content, '北京', '')))/ 2 AS size, strlen(content) + 2 AS broken FROM t)
+SELECT 'part-' || f AS stem, 'txt' AS extension, size::BIGINT AS size, 1 AS depth FROM n
+UNION ALL SELECT 'notes-' || f, 'md', size::BIGINT, 1 FROM n UNION ALL SELECT 'broken-' || f, 'txt', broken::BIGINT, 2 FROM n""")
 def folder_inventory(spark, d):
-    path = _scratch(spark, "corpus")
-    table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
-    rows = files.file_inventory(spark, path).where("extension = 'txt'")
-    return rows.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"),
-                       "extension", "size", "depth")
+    rows = files.file_inventory(spark, _corpus(spark, d))
+    return rows.select(F.regexp_extract("name", "^([^.]*)", 1).alias("stem"), "extension", "size", "depth")
 
 
 @query("decode_with_fallback", """SELECT doc_id, md5(regexp_replace(text, '[^ -~]', '', 'g') || '北京') AS decoded FROM documents""")
@@ -66,18 +92,25 @@ def document_upsert(spark, d):
     return exports.upsert_documents(docs.drop("doc_id"), newer.unionByName(added)).drop("updated_at")
 
 
-@query("report_export", f"""WITH {pi.DESC}, {pi.DIST}, {pi.NCONS}, {pi.LAYOUT}
-SELECT 'statistics' AS section, count(*) AS records FROM dist
-UNION ALL SELECT 'naming', count(*) FROM nc
-UNION ALL SELECT 'structure', count(*) FROM layout WHERE target IS NOT NULL AND source <> target""")
+def _records(name, sql):
+    return f"SELECT '{name}' AS section, count(*) AS records FROM ({sql})"
+
+
+@query("report_export", f"""WITH {pi.RECOMMENDED}, {pi.DIST}, {pi.LAYOUT}
+{_records('rules', pi.SUGGESTED)} UNION ALL {_records('recommendations', 'SELECT * FROM recs')}
+UNION ALL {_records('structure', 'SELECT * FROM layout WHERE target IS NOT NULL AND source <> target')}
+UNION ALL {_records('naming', 'SELECT * FROM nc')} UNION ALL {_records('modules', 'SELECT * FROM mods')}
+UNION ALL {_records('statistics', 'SELECT * FROM dist')}""")
 def report_export(spark, d):
+    """All sections, written and read again."""
     rows = c.files(spark, d).drop("n", "up", "text")
     path = _scratch(spark, "report")
-    sections = {"statistics": inv.distributions(rows), "structure": inv.target_layout(rows, c.FILE_ROOT),
-                "naming": inv.naming_consistency(inv.described(rows).where("category = 'code'")),
-                "rules": inv.suggested_rules(rows, spark)}
+    edges, code = pi._edges(spark, d), pi._code(spark, d)
+    sections = {"rules": inv.suggested_rules(rows, spark), "recommendations": inv.recommendations(rows, edges, c.FILE_ROOT),
+                "structure": inv.target_layout(rows, c.FILE_ROOT), "naming": inv.naming_consistency(code),
+                "modules": inv.module_cohesion(edges, code), "statistics": inv.distributions(rows)}
     out = None
-    for name in exports.report(sections, path, enabled=("statistics", "structure", "naming")):
+    for name in exports.report(sections, path):
         n = spark.read.text(f"{path}/{name}").agg(F.count("*").alias("records")).select(
             F.lit(name).alias("section"), "records")
         out = n if out is None else out.unionByName(n)

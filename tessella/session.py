@@ -20,6 +20,7 @@ DEFAULTS = {
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.javaCharsets": "true",  # reads GBK where UTF-8 fails
+    "spark.sql.python.filterPushdown.enabled": "true",  # the corpus source leaves out files by name
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

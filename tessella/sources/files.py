@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import files as fx
+from tessella.sources.corpus import CorpusSource
 
 
-def _any_case(extension: str) -> str:
-    return "*." + "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in extension)
+def corpus(spark: SparkSession, **options: str) -> DataFrame:
+    """Rows of the corpus source (see corpus)."""
+    spark.dataSource.register(CorpusSource)
+    return spark.read.format("corpus").options(**options).load()
 
 
 def corpus_scan(spark: SparkSession, folder: str, extension: str = "txt") -> DataFrame:
-    """(path, name, content) of every matching file below a folder."""
-    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(extension))
-            .text(folder, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
-                    F.col("value").alias("content")))
+    """(path, name, content) of every matching file below a folder; content is NULL where a
+    file cannot be read or is neither UTF-8 nor GBK."""
+    return corpus(spark, path=folder, extension=extension).select("path", "name", "content")
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file for each row (name, content, encoding); content is text or bytes."""
+    rows.sparkSession.dataSource.register(CorpusSource)
+    rows.write.format("corpus").mode("append").save(folder)
 
 
 def decode_with_fallback(content: Column) -> Column:
