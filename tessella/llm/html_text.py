@@ -3,12 +3,16 @@
 A page is read as a row of tags and runs of words. A run scores its number of words
 times the weight of where it stands (nearest block element, in a link or not), a tag
 scores its own weight, never above zero; one linear scan finds the contiguous
-stretch with the highest sum. Blocks of the stretch are the text, without elements
+stretch with the highest sum. If nearly all its words lie in an <article> or <main>, it is
+widened to the innermost such element, so that a long table, list or gallery does
+not end the article. Blocks of the stretch are the text, without elements
 that are no part of an article wherever they stand: menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments, scripts and styles, known by element
-name, role, or names in class and id. A name says so if its last word does, or its first
+name, role, or names in class and id; a <header> in an article is the article's own, and so is what is named
+for a search there. A name says so if its last word does, or its first
 one and the last one is a plain part (`ad-slot`); names that speak of a page as a
-whole (`has-sidebar`, `modal-open`, `ad-free`) and `...-widget` of page builders do not.
+whole (`has-sidebar`, `modal-open`, `ad-free`) and `...-widget` of page builders do not, and words that
+also mean other things (`market-share`) only beside plain parts or words of the same kind.
 
 Weights are log odds of being content, counted over all labelled pages: those with
 one <article> or <main> that has words, whose inside is content; one inside the other
@@ -25,6 +29,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,19 +44,23 @@ NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title select object".split())
+RAW = frozenset("script style textarea iframe title".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table
 tbody td tfoot th thead tr ul""".split())
 CONTENT = frozenset(("article", "main"))
 # Elements, and words of class, id and role, that mark what is no part of an article.
-ASIDE = frozenset("aside button dialog footer form head header menu nav search".split())
+ASIDE = frozenset("aside button dialog footer form head header menu nav noscript object search select svg template".split())
+OWN = frozenset(("header", "search"))  # of an article, inside one
 ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
 complementary contentinfo cookie cookies consent disqus footer gdpr login masthead menu modal nav navbar navigation
 newsletter notice notification outbrain pagination pager popup promo promoted promotion recommended related replies respond
 search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe taboola toolbar topbar
 widget""".split())
 COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+# Words of a name that say so only if its other words are plain parts, of this kind or of a site.
+AMBIGUOUS = frozenset("banner menu modal notice notification promotion related respond search share social toolbar".split())
+SITE_WORDS = frozenset("btn fixed global mobile my nav page primary secondary site sticky user web wp".split())
 WHOLE_WORDS = frozenset(("widget",))  # only if they are all of a name
 OF_PAGE_FIRST = frozenset("has is no not with without hide show".split())
 OF_PAGE_LAST = frozenset("active closed collapsed disabled enabled fixed free hidden off on open opened shown visible".split())
@@ -62,6 +71,8 @@ text thread title top unit wrap wrapper zone""".split())
 WORD_WEIGHT, LINK_WEIGHT, TAG_WEIGHT = 1.0, -0.5, -0.5
 ASIDE_WEIGHT = -0.1
 """Of a word or tag that is left out in any case, so an article may have a long notice in it."""
+INSIDE = 0.9
+"""Least share of a stretch's words in an element that the stretch is widened to."""
 SMOOTHING = 1.0
 MOST = 4.0
 LEAST_TAG = -0.1
@@ -75,43 +86,68 @@ def is_named(attributes: str, words: frozenset) -> bool:
             if not parts or len(parts) > 1 and (parts[0] in OF_PAGE_FIRST or parts[-1] in OF_PAGE_LAST):
                 continue
             known = [p in words and (p not in WHOLE_WORDS or len(parts) == 1) for p in parts]
+            if all(p in AMBIGUOUS for p, k in zip(parts, known) if k) and not all(
+                    k or p in PLAIN_PARTS or p in SITE_WORDS for p, k in zip(parts, known)):
+                continue
             if known[-1] or any(known) and parts[-1] in PLAIN_PARTS:
                 return True
     return False
 
 
-def is_aside(name: str, attributes: str) -> bool:
+def is_aside(name: str, attributes: str, in_article: bool = False) -> bool:
     """Whether an element is known to be no part of an article."""
     if name in ASIDE:
-        return True
-    return name not in ("html", "body") and is_named(attributes, COMMENT_WORDS if name in CONTENT else ASIDE_WORDS)
+        return not (in_article and name in OWN)
+    if name in ("html", "body"):
+        return False
+    return is_named(attributes, COMMENT_WORDS if name in CONTENT else ASIDE_WORDS - OWN if in_article else ASIDE_WORDS)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(place or tag, text, aside, content): runs of text with the place they stand in,
-    and tags with an empty text. `content` says if an <article> or <main> is open."""
-    open_: list[tuple[str, bool, bool]] = []
-    asides = articles = links = comments = 0
-
-    def pop(to: int) -> None:
-        nonlocal asides, articles, links, comments
-        while len(open_) > to:
-            name, aside, comment = open_.pop()
-            asides -= aside
-            comments -= comment
-            articles -= name in CONTENT
-            links -= name == "a"
-
-    def place() -> str:
-        near = next((n for n, *_ in reversed(open_) if n in BLOCK), "body")
-        return near + (" a" if links else "")
+class Open:
+    """The open elements, with the places of blocks, asides and each name among them, so that
+    no step looks through them all."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.asides: list[int] = []
+        self.comments: list[int] = []
+        self.articles = 0
+
+    def push(self, name: str, aside: bool, comment: bool) -> None:
+        k = len(self.names)
+        self.names.append(name)
+        self.at.setdefault(name, []).append(k)
+        for kind, here in ((self.blocks, name in BLOCK), (self.asides, aside), (self.comments, comment)):
+            if here:
+                kind.append(k)
+        self.articles += name in CONTENT
+
+    def pop(self, to: int) -> None:
+        while len(self.names) > to:
+            name = self.names.pop()
+            self.at[name].pop()
+            for kind in (self.blocks, self.asides, self.comments):
+                if kind and kind[-1] == len(self.names):
+                    kind.pop()
+            self.articles -= name in CONTENT
+
+    def place(self) -> str:
+        near = self.names[self.blocks[-1]] if self.blocks else "body"
+        return near + (" a" if self.at.get("a") else "")
+
 
+def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
+    """(place or tag, text, aside, content): runs of text with the place they stand in,
+    and tags with an empty text. `content` is how many <article> and <main> are open."""
+    o, endless = Open(), set()
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            yield place(), page[at:stop], asides > 0, articles > 0
+            yield o.place(), page[at:stop], bool(o.asides), o.articles
         if not m:
             return
         at = m.end()
@@ -119,31 +155,27 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         name = m.group(1).lower()
         if page[m.start() + 1] == "/":
-            where = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            if where is not None:
-                pop(where)
-            yield "/" + name, "", asides > 0, articles > 0
+            if o.at.get(name):
+                o.pop(o.at[name][-1])
+            yield "/" + name, "", bool(o.asides), o.articles
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else (at if name in ("svg", "math", "object") else end)
-            yield name, "", True, articles > 0
+            close = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if close is None:
+                endless.add(name)
+            at = close.end() if close else end
+            yield name, "", True, o.articles
             continue
-        if name in CONTENT and asides and not comments:
-            pop(next(k for k, (_, aside, _) in enumerate(open_) if aside))
-        if name in BLOCK:
-            last = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] in BLOCK), None)
-            if last is not None and (open_[last][0] == "p" or open_[last][0] == name and name in ("li", "dt", "dd", "td", "th", "tr")):
-                pop(last)
-        yield name, "", asides > 0, articles > 0
+        if name in CONTENT and o.asides and not o.comments:
+            o.pop(o.asides[0])
+        if name in BLOCK and o.blocks:
+            last = o.names[o.blocks[-1]]
+            if last == "p" or last == name and name in ("li", "dt", "dd", "td", "th", "tr"):
+                o.pop(o.blocks[-1])
+        yield name, "", bool(o.asides), o.articles
         if name not in VOID and not m.group(2).endswith("/"):
-            aside = is_aside(name, m.group(2))
-            comment = aside and is_named(m.group(2), COMMENT_WORDS)
-            open_.append((name, aside, comment))
-            asides += aside
-            comments += comment
-            articles += name in CONTENT
-            links += name == "a"
+            aside = is_aside(name, m.group(2), o.articles > 0)
+            o.push(name, aside, aside and is_named(m.group(2), COMMENT_WORDS))
 
 
 def counted(page: str) -> Counter | None:
@@ -154,12 +186,12 @@ def counted(page: str) -> Counter | None:
         if text:
             n = len(html.unescape(text).split())
             if n and not aside:
-                found["w " + name, content] += n
+                found["w " + name, content > 0] += n
                 inside += n if content else 0
         else:
             regions += name in CONTENT and not content and not aside
             if name.lstrip("/") not in CONTENT and not aside:
-                found["t " + name, content] += 1
+                found["t " + name, content > 0] += 1
     return found if regions == 1 and inside else None
 
 
@@ -189,13 +221,42 @@ sub sup time tt u var audio video picture canvas button input script style noscr
 textarea object""".split())
 
 
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous stretch of highest sum starts and ends, by one scan; of equal
+    ones the first; (0, 0) if none is above zero."""
+    best = total = 0.0
+    start, stretch = 0, (0, 0)
+    for k, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += score
+        if total > best:
+            best, stretch = total, (start, k + 1)
+    return stretch
+
+
+def widened(stretch: tuple[int, int], regions: list[tuple[int, int]], words: list[int]) -> tuple[int, int]:
+    """The innermost region with nearly all words of the stretch, else the stretch."""
+    before = [0, *itertools.accumulate(words)]
+    first, last = stretch
+    held = before[last] - before[first]
+    fit = [(b - a, a, b) for a, b in regions if held and before[max(first, min(b, last))] - before[min(max(first, a), last)] >= INSIDE * held]
+    return min(fit)[1:] if fit else stretch
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best stretch, joined by two line feeds."""
     runs: list[tuple[str, bool, bool]] = []  # (text or tag, is text, aside)
-    best = sum_ = 0.0
-    start = 0
-    stretch = (0, 0)
-    for name, text, aside, _ in tokens(page):
+    scores: list[float] = []
+    words: list[int] = []
+    regions: list[tuple[int, int]] = []
+    opened: list[int] = []
+    for name, text, aside, content in tokens(page):
+        while len(opened) > content:
+            regions.append((opened.pop(), len(runs)))
+        while len(opened) < content:
+            opened.append(len(runs))
+        n = 0
         if text:
             text = html.unescape(text)
             n = len(text.split())
@@ -204,12 +265,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         else:
             score = ASIDE_WEIGHT if aside else weights.get("t " + name, TAG_WEIGHT)
         runs.append((text or name, bool(text), aside))
-        if sum_ <= 0:
-            sum_, start = 0.0, len(runs) - 1
-        sum_ += score
-        if sum_ > best:
-            best, stretch = sum_, (start, len(runs))
-    first, last = stretch  # a block that the stretch cuts is taken whole
+        scores.append(score)
+        words.append(0 if aside else n)
+    regions += [(a, len(runs)) for a in opened]
+    first, last = widened(best_stretch(scores), regions, words)  # a block that the stretch cuts is taken whole
     while 0 < first < last and (runs[first - 1][1] or runs[first - 1][0].lstrip("/") not in BLOCK):
         first -= 1
     while first < last < len(runs) and (runs[last][1] or runs[last][0].lstrip("/") not in BLOCK):

@@ -146,28 +146,56 @@ class Model:
         return (total == 0) | (held > 0) & (held >= least)
 
 
-def _normal(presence: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-    return presence.astype(np.float64) / size
+BLOCK = 256
+"""Rows whose presence vectors are held as floating point at a time."""
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE,
-        landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Trains on documents outside fold 0. What comes to the driver are the n-grams of
-    the sampled rows, of which there are at most per_language a label."""
+class Presence:
+    """0 and 1 per row and n-gram of the vocabulary; products go block by block."""
+
+    def __init__(self, found: list[np.ndarray], vocabulary: np.ndarray):
+        self.held = np.zeros((len(found), len(vocabulary)), np.uint8)
+        for k, values in enumerate(found):
+            at = np.searchsorted(vocabulary, values)
+            at[at == len(vocabulary)] = 0
+            self.held[k, at[vocabulary[at] == values]] = 1
+
+    def unit(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Rows as vectors of length 1."""
+        part = self.held[rows].astype(np.float32)
+        return part / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True), 1))
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """Unit rows times a matrix."""
+        parts = [self.unit(slice(k, k + BLOCK)) @ matrix for k in range(0, len(self.held), BLOCK)]
+        return np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, matrix.shape[1]))
+
+
+def sampled(docs: DataFrame, text: str, lang: str, per_language: int) -> DataFrame:
+    """(_lang, _rank, _text): of each label the per_language rows of lowest hash, outside
+    fold 0 and with a letter. Rows equal in label, id and text are one, so there are never
+    more, however often rows repeat."""
     spark = docs.sparkSession
     usable = docs.where(docs[lang].isNotNull() & (fold_of(docs["doc_id"]) != 0) & docs[text].rlike(r"\p{L}")).select(
-        docs[lang].alias("_lang"), docs["doc_id"].alias("_id"), F.xxhash64(docs["doc_id"]).alias("_h"))
+        docs[lang].alias("_lang"), docs["doc_id"].alias("_id"), F.xxhash64(docs[text]).alias("_t"),
+        F.xxhash64(docs["doc_id"], docs[text]).alias("_h"))
     # Of a label with many rows, only hashes low enough for about four times as many as wanted are ranked.
-    counts = usable.groupBy("_lang").count().collect()
-    low = [(r[0], min((1 << 63) - 1, (1 << 66) * per_language // r[1] - (1 << 63))) for r in counts]
+    counts = usable.groupBy("_lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()
+    low = [(r["_lang"], min((1 << 63) - 1, (1 << 66) * per_language // max(r["n"], 1) - (1 << 63))) for r in counts]
     low = F.broadcast(spark.createDataFrame(low, "_lang1 string, _low long"))  # a row per label
-    order = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = (usable.join(low, (F.col("_lang") == F.col("_lang1")) & (F.col("_h") <= F.col("_low")))
-              .select("_lang", "_id", F.row_number().over(order).alias("_rank")).where(F.col("_rank") <= per_language))
-    rows = docs.select("doc_id", docs[lang].alias("_lang2"), docs[text].alias("_text")).join(
-        F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("_lang2") == F.col("_lang")))  # bounded rows
-    source = rows.select("_lang", "_rank", "_text")
+    order = Window.partitionBy("_lang").orderBy("_h", "_id", "_t")
+    chosen = (usable.join(low, (F.col("_lang") == F.col("_lang1")) & (F.col("_h") <= F.col("_low"))).select("_lang", "_id", "_t", "_h")
+              .distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language))
+    rows = docs.select("doc_id", docs[lang].alias("_lang2"), F.xxhash64(docs[text]).alias("_t2"), docs[text].alias("_text")).join(
+        F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("_lang2") == F.col("_lang")) & (F.col("_t2") == F.col("_t")))
+    return rows.select("_lang", "_rank", "_text").dropDuplicates(["_lang", "_rank"])
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE,
+        landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Trains on documents outside fold 0. What comes to the driver are the n-grams of
+    the sampled rows, of which there are at most per_language a label."""
+    source = sampled(docs, text, lang, per_language)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,40 +205,41 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
                 sizes = np.array([len(x) for x, _ in each])
                 flat, often = (np.concatenate([x[k] for x in each] or [np.zeros(0, np.int64)]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), lists(flat, sizes, pa.int64()), lists(often, sizes, pa.int64())],
+                    [part.column(0), part.column(1), lists(flat, sizes, pa.int32()), lists(often, sizes, pa.int32())],
                     names=["_lang", "_rank", "grams", "often"])
 
-    held = source.mapInArrow(work, "_lang string, _rank int, grams array<long>, often array<long>").toArrow().sort_by(
+    held = source.mapInArrow(work, "_lang string, _rank int, grams array<int>, often array<int>").toArrow().sort_by(
         [("_lang", "ascending"), ("_rank", "ascending")])
-    langs = held.column("_lang").to_pylist()
+    return trained([(lang_, rank, np.array(g.values, np.int64), np.array(o.values, np.int64)) for lang_, rank, g, o in zip(
+        held.column("_lang").to_pylist(), held.column("_rank").to_pylist(), held.column("grams"), held.column("often"))], landmarks, ridge)
+
+
+def trained(rows: list[tuple[str, int, np.ndarray, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """The model of rows (label, rank, n-grams, how often each), by label and rank."""
+    langs = [r[0] for r in rows]
     labels = sorted(set(langs))
     if not labels:
         return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), [])
-    found = [np.array(x, np.int64) for x in held.column("grams").to_pylist()]
-    marks = [k for k, r in enumerate(held.column("_rank").to_pylist()) if r <= landmarks]
+    found = [r[2] for r in rows]
+    marks = np.flatnonzero([r[1] <= landmarks for r in rows])
     vocabulary = np.unique(np.concatenate([found[k] for k in marks]))
-    presence = np.zeros((len(found), len(vocabulary)), np.uint8)
-    for k, values in enumerate(found):
-        at = np.searchsorted(vocabulary, values)
-        at[at == len(vocabulary)] = 0
-        presence[k, at[vocabulary[at] == values]] = 1
-    rows_n = _normal(presence)
-    marks_n = rows_n[marks]
-    values, vectors = np.linalg.eigh(marks_n @ marks_n.T)
-    keep = values > 1e-8 * values.max()
+    presence = Presence(found, vocabulary)
+    kernel = presence.times(presence.unit(marks).T)  # of every row with every landmark
+    values, vectors = np.linalg.eigh(kernel[marks])
+    keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = rows_n @ marks_n.T @ root
+    phi = kernel @ root
     target = np.where(np.array(langs)[:, None] == np.array(labels)[None, :], 1.0, -1.0)
     weight = np.linalg.solve(phi.T @ phi + ridge * len(found) * np.eye(phi.shape[1]), phi.T @ target)
-    model = Model(vocabulary, (marks_n.T @ (root @ weight)).astype(np.float32), labels)
-    value = rows_n @ model.weights
+    model = Model(vocabulary, (presence.unit(marks).T @ (root @ weight)).astype(np.float32), labels)
+    value = presence.times(model.weights)
     right = value.argmax(axis=1) == np.array([labels.index(x) for x in langs])
-    holders, own = presence[marks].sum(axis=0, dtype=np.int64), np.zeros(len(found), np.int64)
+    holders, own = presence.held[marks].sum(axis=0, dtype=np.int64), np.zeros(len(found), np.int64)
     own[marks] = 1
     share = np.ones(len(found))
-    for k, (values, often) in enumerate(zip(found, held.column("often").to_pylist())):
+    for k, (_, _, values, often) in enumerate(rows):
         counts = (values >= BASE[2]) & (values != BLANK)
-        values, often = values[counts], np.array(often, np.int64)[counts]
+        values, often = values[counts], often[counts]
         at = np.searchsorted(vocabulary, values)
         at[at == len(vocabulary)] = 0
         by_others = (vocabulary[at] == values) & (holders[at] > own[k])

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -74,3 +76,41 @@ def test_articles_among_comments_are_comments(weights):
         page = f"<body><main><article><p>Words of the article here, some more.</p></article></main>{remarks}</body>"
         assert H.main_text(page, weights) == "Words of the article here, some more."
     assert H.counted("<main><article><p>one two</p></article></main>")["w p", True] == 2
+
+
+def test_the_stretch_is_the_best_of_all():
+    rng = random.Random(2)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(rng.randint(0, 14))]
+        a, b = H.best_stretch(scores)
+        best = max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        assert sum(scores[a:b]) == best and (b > a) == (best > 0)
+
+
+@pytest.mark.parametrize("inside", ["<ul>" + "<li><a href=x>Link item</a>" * 60 + "</ul>",
+                                    "<table>" + "<tr><td>1<td>2</tr>" * 80 + "</table>", "<figure><img src=x><br></figure>" * 80])
+def test_long_parts_do_not_end_an_article(weights, inside):
+    page = (f"<body><nav><a href=x>Menu of it</a></nav><article><p>{'some words ' * 15}</p>{inside}<p>{'more words ' * 10}</p></article>"
+            "<footer>All rights</footer></body>")
+    for w in (weights, {}):
+        text = H.main_text(page, w)
+        assert text.startswith("some words") and text.endswith("more words") and "Menu" not in text and "rights" not in text
+        assert ("Link item" in text) == ("Link" in inside) and ("1\n\n2" in text) == ("<td>" in inside)
+
+
+@pytest.mark.parametrize("part", ['<div class="market-share"><p>Kept here too.</p></div>', '<div class="search"><p>Kept here too.</p></div>',
+                                  "<p>Kept <math><mi>x</mi></math> too.</p>", "<header><h1>Kept here too.</h1></header>",
+                                  "<div><select><option>no</div><p>Kept here too.</p>", "<div><template>no</div><p>Kept here too.</p>",
+                                  "<div><noscript>no</div><p>Kept here too.</p>"])
+def test_parts_of_an_article_stay(weights, part):
+    text = H.main_text(f"<body><article><p>First words of it, some more.</p>{part}<p>Last words of it all.</p></article></body>", weights)
+    kept = "Kept x too." if "math" in part else "Kept here too."
+    assert text == f"First words of it, some more.\n\n{kept}\n\nLast words of it all."
+
+
+def test_long_pages_take_time_in_proportion():
+    for page in ("<b>x " * 200_000, "<div>x " * 200_000, "<p>x</i>" * 200_000, "<select>x" * 100_000, "<nav><b>" * 100_000,
+                 "<article>x" * 100_000, "<svg>x" * 100_000):
+        began = time.time()
+        H.main_text(page, {})
+        assert time.time() - began < 30
