@@ -1,7 +1,8 @@
 """Entity spans: dictionaries, patterns, overlap resolution, merging, statistics.
 
 Candidates, the order-dependent resolution and the merge all work on the spans
-of one text inside its row (see functions.spans); only reports group rows.
+of one text inside its row (see functions.spans); only reports group rows. Resolution
+and merge are sweeps over sorted spans, linear in their number.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tessella.data import entities as ed
 from tessella.functions import automaton as au
 from tessella.functions import spans as sp
 from tessella.functions import text as tx
-from tessella.functions.rows import unnest
+from tessella.functions.rows import settled, unnest
 from tessella.operators.grams import gram_join
 
 HAS_CJK = r"[\x{4e00}-\x{9fa5}]"
@@ -48,8 +49,6 @@ def gazetteer_spans(text: Column, names: Names) -> Column:
     meant: dict[str, list[tuple[int, str, float]]] = {}
     for k, (n, kind, confidence) in enumerate(names):
         meant.setdefault(n, []).append((k, kind, float(confidence)))
-    kind_ = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("type", pa.string()),
-                                ("confidence", pa.float64())]))
 
     @F.arrow_udf(sp.SPAN)
     def find(texts: pa.Array) -> pa.Array:
@@ -64,7 +63,7 @@ def gazetteer_spans(text: Column, names: Names) -> Column:
                 found[t] += [(k, s, name, kind, c) for k, kind, c in meant[name]]
             out += [[{"start": s, "end": s + len(n), "text": n, "type": kind, "confidence": c}
                      for _, s, n, kind, c in sorted(f)] for f in found]
-        return pa.array(out, kind_)
+        return pa.array(out, ARROW_SPANS)
     return find(text)
 
 
@@ -157,44 +156,58 @@ def postprocess(spans: Column, text: Column) -> Column:
     return F.transform(F.filter(spans, keep), bounded)
 
 
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("type", pa.string()),
+                                  ("confidence", pa.float64())]))
+
+
+def _replaces(e: dict, p: dict) -> bool:
+    """Whether a span takes the place of the last kept one, which it overlaps."""
+    gap, kept, own = e["confidence"] - p["confidence"], p["end"] - p["start"], e["end"] - e["start"]
+    return (gap > 0.10 or kept <= 2 or p["type"] == "LOC" and p["text"][:1] in ed.WEAK_PLACE_PREFIX
+            or e["type"] == "PER" and p["type"] == "LOC" and len(e["text"]) <= 4 and e["confidence"] >= 0.85
+            or e["type"] == "TIME" and p["type"] != "TIME" and e["confidence"] >= 0.90
+            or own > kept * 1.5 and gap > -0.05)
+
+
+def swept(spans: list[dict]) -> list[dict]:
+    """Earliest first, longer first, surer first; of overlapping spans the later one replaces
+    the last kept one or goes. A stack of what is kept, so as much work as there are spans."""
+    kept: list[dict] = []
+    for e in sorted(spans, key=lambda s: (s["start"], s["start"] - s["end"], -s["confidence"])):
+        if not kept or e["start"] >= kept[-1]["end"]:
+            kept.append(e)
+        elif _replaces(e, kept[-1]):
+            kept[-1] = e
+    return kept
+
+
+def joined(spans: list[dict], text: str) -> list[dict]:
+    """Neighbours of one type with nothing but a joiner between them become one span."""
+    out: list[dict] = []
+    for e in spans:
+        p = out[-1] if out else None
+        if (p and e["type"] == p["type"] and 1 <= e["start"] - p["end"] <= 2
+                and text[p["end"]:e["start"]].strip(" ") in ed.JOINERS):
+            body = text[p["start"]:e["end"]]
+            out[-1] = {**p, "text": body, "end": p["start"] + len(body), "confidence": (p["confidence"] + e["confidence"]) / 2}
+        else:
+            out.append(e)
+    return out
+
+
 def resolve_overlaps(spans: Column) -> Column:
-    """Earliest first, longer first, surer first; an overlapping span replaces
-    the last kept one under the first of six rules that applies."""
-    keyed = F.transform(spans, lambda s, i: F.struct(
-        s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["confidence"]).alias("c"),
-        i.alias("d"), s.alias("s")))
-    line = F.transform(F.array_sort(keyed), lambda k: k["s"])
-
-    def replaces(e: Column, p: Column) -> Column:
-        gap, p_len = e["confidence"] - p["confidence"], p["end"] - p["start"]
-        weak = (p["type"] == "LOC") & F.substring(p["text"], 1, 1).isin(*ed.WEAK_PLACE_PREFIX)
-        return ((gap > 0.10) | (p_len <= 2) | weak
-                | ((e["type"] == "PER") & (p["type"] == "LOC") & (F.length(e["text"]) <= 4) & (e["confidence"] >= 0.85))
-                | ((e["type"] == "TIME") & (p["type"] != "TIME") & (e["confidence"] >= 0.90))
-                | ((e["end"] - e["start"] > p_len * 1.5) & (gap > -0.05)))
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        return (F.when(F.size(done) == 0, F.array(e))
-                .when(e["start"] >= last["end"], F.array_append(done, e))
-                .when(replaces(e, last), F.array_append(F.slice(done, 1, F.size(done) - 1), e))
-                .otherwise(done))
-    return F.aggregate(line, sp.none(), step)
+    @F.arrow_udf(sp.SPAN)
+    def sweep(column: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else swept(s) for s in column.to_pylist()], ARROW_SPANS)
+    return sweep(spans)
 
 
 def merge_adjacent(spans: Column, text: Column) -> Column:
-    """Join neighbours of one type with nothing but a joiner between them."""
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = e["start"] - last["end"]
-        between = F.trim(F.substr(text, last["end"] + 1, gap))
-        joined = sp.span(last["start"], F.substr(text, last["start"] + 1, e["end"] - last["start"]),
-                         last["type"], (last["confidence"] + e["confidence"]) / 2)
-        return (F.when(F.size(done) == 0, F.array(e))
-                .when((e["type"] == last["type"]) & gap.between(1, 2) & between.isin(*ed.JOINERS),
-                      F.array_append(F.slice(done, 1, F.size(done) - 1), joined))
-                .otherwise(F.array_append(done, e)))
-    return F.aggregate(spans, sp.none(), step)
+    @F.arrow_udf(sp.SPAN)
+    def merge(column: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([None if s is None or t is None else joined(s, t) for s, t in zip(column.to_pylist(), texts.to_pylist())],
+                        ARROW_SPANS)
+    return merge(spans, text)
 
 
 def candidates(text: Column, named: Column) -> Column:
@@ -216,17 +229,19 @@ def with_candidates(docs: DataFrame, key: str, names: DataFrame | Names, text: s
             hits = gazetteer_entities(docs, key, names, text).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(
                 F.struct("start", "end", "text", "type", "confidence"))).alias("_named"))
             rows = docs.join(hits, F.col(key) == F.col("_key"), "left").drop("_key")
-            return rows.withColumn("candidates", candidates(t, F.coalesce("_named", sp.none()))).drop("_named")
+            return settled(rows, "candidates", candidates(t, F.coalesce("_named", sp.none()))).drop("_named")
         names = [tuple(r) for r in rows]
-    return docs.withColumn("candidates", candidates(t, gazetteer_spans(t, [n for n in names if n[0]])))
+    rows = settled(docs, "_named", gazetteer_spans(t, [n for n in names if n[0]]))
+    return settled(rows, "candidates", candidates(t, F.coalesce("_named", sp.none()))).drop("_named")
 
 
 def recognize(docs: DataFrame, key: str, names: DataFrame | Names, text: str = "text", held_names: int = HELD_NAMES) -> DataFrame:
     """Adds `entities`, the final spans of each text."""
     t = F.col(text)
-    spans = resolve_overlaps(postprocess(F.col("candidates"), t))
     rows = with_candidates(docs, key, names, text, held_names)
-    return rows.withColumn("entities", postprocess(merge_adjacent(spans, t), t)).drop("candidates")
+    rows = settled(rows, "_kept", resolve_overlaps(postprocess(F.col("candidates"), t)))
+    rows = settled(rows, "_merged", merge_adjacent(F.col("_kept"), t))
+    return settled(rows, "entities", postprocess(F.col("_merged"), t)).drop("candidates", "_kept", "_merged")
 
 
 def entity_rows(recognized: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessella.data import filetypes as ft
 from tessella.functions import files as fx
 from tessella.functions.bounds import fixed_table
-from tessella.functions.rows import unnest
+from tessella.functions.rows import settled, unnest
 from tessella.session import cut
 
 
@@ -190,9 +190,7 @@ def inventory_facts(files: DataFrame, edges: DataFrame | None = None) -> DataFra
                      F.when(named, group("style", F.col("extension"), F.col("naming"))),
                      F.when(code, group("code_dir", F.col("parent"))),
                      F.when(F.col("size") > ft.LARGE_FILE, group("large", F.col("path"))))
-    # Category and naming come out of a generator, so that the conditions read them instead of repeating them.
-    one = F.explode(F.array(F.struct(fx.category(F.col("extension")).alias("category"), fx.naming_pattern(F.col("name")).alias("naming"))))
-    told = files.select("path", "depth", "parent", "extension", "size", one.alias("_c")).select("*", "_c.category", "_c.naming")
+    told = settled(settled(files, "category", fx.category(F.col("extension"))), "naming", fx.naming_pattern(F.col("name")))
     rows = told.select("path", "depth", *[F.coalesce(c, F.lit(False)).alias(f) for f, c in flag.items()],
                                    F.explode(F.array_compact(groups)).alias("g"))
     facts = rows.groupBy("g.kind", "g.a", "g.b").agg(

@@ -205,7 +205,8 @@ def resolve_overlaps(spark, d):
 
 @query("merge_adjacent", f"WITH RECURSIVE {CANDIDATES}, {_resolve('kept', 'cand')}, {_merge('merged', 'kept')} SELECT {COLUMNS} FROM merged")
 def merge_adjacent(spark, d):
-    return en.span_rows(_candidates(spark, d), "doc_id", en.merge_adjacent(en.resolve_overlaps(F.col("candidates")), F.col("text")))
+    rows = _candidates(spark, d).withColumn("kept", en.resolve_overlaps(F.col("candidates")))
+    return en.span_rows(rows, "doc_id", en.merge_adjacent(F.col("kept"), F.col("text")))
 
 
 @query("entity_postprocess", f"WITH {CANDIDATES}, {_post('posted', 'cand')} SELECT {COLUMNS} FROM posted")

@@ -65,6 +65,14 @@ def tokenize_en(spark, d):
                     .alias("kept_words"))
 
 
+@query("tokenize_unicode", r"""
+SELECT doc_id, len(t) AS total_words, md5(array_to_string(t, ' ')) AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents)""")
+def tokenize_unicode(spark, d):
+    """Words with accents, whole."""
+    t = _docs(spark, d).withColumn("t", tx.words_unicode(F.col("text")))
+    return t.select("doc_id", F.size("t").cast("long").alias("total_words"), F.md5(F.array_join("t", " ")).alias("words"))
+
+
 @query("tokenize_zh", f"""
 SELECT conv_id, turn, array_to_string({sp.words_zh('text')}, '|') AS tokens FROM conversations""")
 def tokenize_zh(spark, d):

@@ -49,8 +49,8 @@ def test_resolve_and_merge(spark):
             spans.append((a, b, text[a:b], rng.choice(list(ed.TYPES)), rng.choice([0.8, 0.83, 0.85, 0.9, 0.92, 0.95])))
         cases.append((i, text, spans))
     df = spark.createDataFrame(cases, f"id int, text string, spans {sp.SPAN}")
-    kept = en.resolve_overlaps(F.col("spans"))
-    got = df.select("id", kept.alias("r"), en.merge_adjacent(kept, F.col("text")).alias("m")).orderBy("id").collect()
+    df = df.withColumn("r", en.resolve_overlaps(F.col("spans")))
+    got = df.select("id", "r", en.merge_adjacent(F.col("r"), F.col("text")).alias("m")).orderBy("id").collect()
     for row, (_, _, spans) in zip(got, cases):
         want = brute_resolve(spans)
         assert [tuple(x) for x in row["r"]] == want
