@@ -166,6 +166,11 @@ def crowded_dirs(files: DataFrame, threshold: int = 30) -> DataFrame:
 FLAGS = ("root_files", "flat_code", "docs", "images", "tests_in_place", "stray_tests")
 
 
+def _told(files: DataFrame) -> DataFrame:
+    """Category and naming style, to be read many times over."""
+    return settled(settled(files, "category", fx.category(F.col("extension"))), "naming", fx.naming_pattern(F.col("name")))
+
+
 def inventory_facts(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(kind, a, b, n, path, depth and a column per flag): every count that findings and
     recommendations need, from one pass over the files and one over the edges. A file
@@ -190,8 +195,7 @@ def inventory_facts(files: DataFrame, edges: DataFrame | None = None) -> DataFra
                      F.when(named, group("style", F.col("extension"), F.col("naming"))),
                      F.when(code, group("code_dir", F.col("parent"))),
                      F.when(F.col("size") > ft.LARGE_FILE, group("large", F.col("path"))))
-    told = settled(settled(files, "category", fx.category(F.col("extension"))), "naming", fx.naming_pattern(F.col("name")))
-    rows = told.select("path", "depth", *[F.coalesce(c, F.lit(False)).alias(f) for f, c in flag.items()],
+    rows = _told(files).select("path", "depth", *[F.coalesce(c, F.lit(False)).alias(f) for f, c in flag.items()],
                                    F.explode(F.array_compact(groups)).alias("g"))
     facts = rows.groupBy("g.kind", "g.a", "g.b").agg(
         F.count("*").alias("n"), F.min("path").alias("path"), F.max("depth").cast("long").alias("depth"),
@@ -299,7 +303,7 @@ def recommendations(files: DataFrame, edges: DataFrame, root: str) -> DataFrame:
 
 def target_layout(files: DataFrame, root: str) -> DataFrame:
     """Where files directly under the root should move."""
-    rows = described(files).where("depth = 1")
+    rows = _told(files.where("depth = 1"))
     cat = F.col("category")
     folder = (F.when((cat == "code") & (F.col("naming") == "test_file"), "tests")
               .when(cat == "code", "src")

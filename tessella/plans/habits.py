@@ -138,6 +138,12 @@ def trend_matrix(spark, d):
     return hb.trend_matrix(*_both(spark, d), AS_OF, 30).select("habit_id", _s(), "done")
 
 
+@query("trend_matrix_year", f"""{W} SELECT habit_id, date::VARCHAR AS date, (type IS NOT NULL)::INTEGER AS done
+FROM {cal(365)} LEFT JOIN days USING (habit_id, date)""")
+def trend_matrix_year(spark, d):
+    return hb.trend_matrix(*_both(spark, d), AS_OF, 365).select("habit_id", _s(), "done")
+
+
 @query("last7_status", f"""{W} SELECT habit_id, date::VARCHAR AS date, (type IS NOT NULL)::INTEGER AS done,
 coalesce(type = 'makeup', FALSE) AS is_makeup FROM {cal(7)} LEFT JOIN days USING (habit_id, date)""")
 def last7_status(spark, d):
