@@ -46,7 +46,7 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 def test_texts_in_no_known_language_go(spark):
