@@ -146,6 +146,10 @@ def tfidf_keywords(docs: DataFrame, keys: list[str], stop: DataFrame | None = No
     return top_terms(weights, keys, top_n, by="weight")
 
 
+HELD_TERMS = 200_000
+"""Vocabularies up to which the terms are broadcast."""
+
+
 def tfidf_l2(counts: DataFrame, docs: DataFrame, keys: list[str],
              max_features: int = 1000) -> DataFrame:
     """Smoothed idf over the most frequent terms, unit length per document."""
@@ -153,7 +157,8 @@ def tfidf_l2(counts: DataFrame, docs: DataFrame, keys: list[str],
     vocabulary = (counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
                   .orderBy(F.desc("total"), F.asc("term")).limit(max_features)
                   .withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1))
-    raw = (counts.join(F.broadcast(vocabulary.select("term", "idf")), "term")
+    known = vocabulary.select("term", "idf")  # as many rows as the caller asks for
+    raw = (counts.join(F.broadcast(known) if max_features <= HELD_TERMS else known, "term")
            .withColumn("raw", F.col("n") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return raw.withColumn("weight", F.col("raw") / norm).drop("raw")
