@@ -22,5 +22,5 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that comes out of a generator, so that what is built on it reads the
     value: it is not computed again per use, and Python functions may follow each other
     with expressions in between."""
-    one = F.explode(F.array(F.struct(value.alias(name)))).alias("_one")
+    one = F.explode_outer(F.array(F.struct(value.alias(name)))).alias("_one")  # outer: no filter is inferred that computes it twice
     return df.select("*", one).select(*[F.col(c) for c in df.columns if c != name], F.col("_one").getField(name).alias(name))
