@@ -218,19 +218,32 @@ def _hits(text: Column, lexicon: Lexicon, schema: str, build: Callable) -> Colum
     return find(text)
 
 
+FOLDED = "ſKıİ"
+"""What matches s, k and i where case is ignored, besides these letters themselves."""
+
+
 def pattern_score(text: Column, language: Column) -> Column:
-    def total(patterns, on: Column, flags: str) -> Column:
+    """Patterns are matched only in texts that hold the strings they need."""
+    odd = F.contains(text, F.lit(FOLDED[0]))
+    for c in FOLDED[1:]:
+        odd = odd | F.contains(text, F.lit(c))
+
+    def total(patterns, on: Column, flags: str, searched: Column) -> Column:
         out = F.lit(0.0)
         for p, v in patterns:
-            out = out + F.regexp_count(on, F.lit(f"(?{flags}){p}")) * v
+            times = F.regexp_count(on, F.lit(f"(?{flags}){p}"))
+            held = tx.holds(searched, p, 32, lowered="i" in flags)
+            if held is not None:
+                times = F.when(on.isNull() | held | (odd if "i" in flags else F.lit(False)), times).otherwise(0)
+            out = out + times * v
         return out
     # All but the last general pattern need a Chinese character or one of three
     # ASCII words, so other texts skip them after one scan.
     general, latin = sd.PATTERNS[:-1], sd.PATTERNS[-1:]
     possible = text.rlike(rf"(?i){tx.CJK}|yyds|666|lj")
-    zh = F.when(possible, total(general, text, "d")).otherwise(0.0) + total(latin, text, "d")
-    en = (F.when(possible, total(general, text, "diu")).otherwise(0.0) + total(latin, text, "diu")
-          + bind(F.lower(text), lambda t: total(sd.ENGLISH_PATTERNS, t, "d")))
+    zh = F.when(possible, total(general, text, "d", text)).otherwise(0.0) + total(latin, text, "d", text)
+    en = bind(F.lower(text), lambda t: F.when(possible, total(general, text, "diu", t)).otherwise(0.0)
+              + total(latin, text, "diu", t) + total(sd.ENGLISH_PATTERNS, t, "d", t))
     return F.when(language == "chinese", zh).otherwise(en)
 
 

@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessella.data import entities as ed
 from tessella.data import sentiment as sd
 from tessella.functions import automaton as au
 from tessella.functions import text as tx
@@ -103,3 +104,27 @@ def test_grams_near_names_only(spark):
     assert len(want) <= grams.grams(df, "id", table.where("name <> ''"), "name").count() <= 1.1 * len(want) + 20
     assert grams.gram_join(df, "id", table.limit(0), "name").count() == 0
     assert grams.grams(df, "id", table.limit(0), "name").count() == 0
+
+
+def test_strings_that_patterns_need(spark):
+    assert tx.needed(r"(five|5) star(s)?") == (" star",) and tx.needed("(坑|坑爹|被骗).*?x+y?") == ("坑", "被骗")
+    assert tx.needed(r"\ba\.b[cd]{2}(?<!q)efg(?:h|i)*") == ("a.b",) and tx.needed("a?b*[xyz]") == () == tx.needed("(?i)abc")
+    patterns = [p for p, _ in [*sd.PATTERNS, *sd.ENGLISH_PATTERNS, *ed.TIME_PATTERNS, *ed.ENGLISH_TIMES]]
+    told = [x for p in patterns for x in tx.needed(p)]
+    rng = random.Random(5)
+    parts = [*told, *"ſKıİ 5年月日一二半19-/:", "dont BUY", "Stopped  working", "ſtopped workıng", "five stars", "非常 很精彩", "体验很好", "2024-01-05", "May 5", None]
+    texts = [None if None in x and i % 9 == 0 else "".join(y or " " for y in x) for i, x in enumerate(rng.choices(parts, k=9) for _ in range(400))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def plain(language):
+        general, latin = sd.PATTERNS[:-1], sd.PATTERNS[-1:]
+        every = [(p, v, "diu" if language == "english" else "d", F.col("text")) for p, v in [*general, *latin]]
+        if language == "english":
+            every += [(p, v, "d", F.lower("text")) for p, v in sd.ENGLISH_PATTERNS]
+        return sum((F.regexp_count(on, F.lit(f"(?{flags}){p}")) * v for p, v, flags, on in every), F.lit(0.0))
+    for language in ("english", "chinese"):
+        got = rows.select(sn.pattern_score(F.col("text"), F.lit(language)).alias("got"), plain(language).alias("want")).collect()
+        assert all((r["got"] is None) == (r["want"] is None) and (r["got"] is None or abs(r["got"] - r["want"]) < 1e-9) for r in got)
+    for p in patterns:
+        held = tx.holds(F.col("text"), p, 99)
+        assert held is None or rows.where(F.col("text").rlike(p) & ~held).count() == 0
