@@ -3,10 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.data import entities as ed
+from tessella.functions import automaton as au
 from tessella.functions import spans as sp
+from tessella.functions import text as tx
 from tessella.operators import entities as en
 
 
@@ -99,3 +102,33 @@ def test_highlight(spark):
     rows = en.recognize(spark.createDataFrame([(1, "在北京说")], "id int, text string"), "id", [("北京", "LOC", 0.92)])
     out = rows.select(en.highlight(rows)).first()[0]
     assert out.startswith("在<span") and out.endswith("</span>说") and "北京<sub>地点</sub>" in out
+
+
+def test_quick_patterns_find_the_same(spark):
+    """Patterns with a look ahead, endings by first letter and gates against the plain ones."""
+    rng = random.Random(3)
+    parts = ["Acme", "ſky", "Kelvin", "İnc", "ıt", "A", "of", "x.y", "Co.", "co", "Corp", "GROUP", "UnıOn", "Lımıted", "Holdingſ", "Inc.", "Éa", "State",
+             "Mt.", "Mount", "Mountain", "Dr.", "Anna", "Smith", "May 5, 2024", "Fall", "today", "2024-01-05", "1999", "10:30 am", "北京", "\n", "  ", "?", "_"]
+    texts = [None, ""] + ["".join(rng.choice(parts) + rng.choice([" ", " ", "", "\t"]) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").cache()
+    t = F.col("text")
+    pairs = [("(?iu)" + ed.ENGLISH_ORG, tx.ahead(en.quick_org())), (ed.ENGLISH_LOCATION, tx.ahead(tx.by_first(ed.ENGLISH_LOCATION)))]
+    pairs += [(p, tx.ahead(p)) for p in [ed.ENGLISH_TITLED, ed.ENGLISH_NAME, *(p for p, _ in ed.ENGLISH_TIMES), *(p for p, _ in ed.TIME_PATTERNS)]]
+    pairs += [(p[0], en.CJK_NEXT + p[0]) for p in ed.SUFFIX_PATTERNS]
+    for plain, quick in pairs:
+        assert df.where(~sp.matches(t, plain).eqNullSafe(sp.matches(t, quick))).count() == 0, quick
+    assert df.where(t.rlike("(?iu)" + ed.ENGLISH_ORG) & ~t.rlike(r"\s" + en.org_ending())).count() == 0
+    assert df.where(t.rlike(en.quick_org())).count() > 50
+
+
+def test_steps_laid_out_or_followed(monkeypatch):
+    """A small automaton steps by a table and finds what the links find."""
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(80)}
+    codes, _ = au.characters(pa.array(["".join(rng.choices("abcd", k=900)) for _ in range(5)] + [None, ""]))
+    small = au.Automaton(words)
+    found = small.find(codes)
+    assert small._steps() is not None and "_next" not in small.__getstate__()
+    monkeypatch.setattr(au, "DENSE_CELLS", 0)
+    again = au.Automaton(words).find(codes)
+    assert len(found[0]) > 500 and all((a == b).all() for a, b in zip(found, again))
