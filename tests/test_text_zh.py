@@ -71,3 +71,17 @@ def test_model_score_changes_only_chinese(spark):
     base = [r["raw_score"] for r in sn.sentiment(df).collect()]
     with_model = [r["raw_score"] for r in sn.sentiment(df, model_score="m").collect()]
     assert with_model[0] < base[0] and with_model[1] == base[1]
+
+
+def test_cleaning_equals_the_plain_patterns(spark):
+    """Runs go at once and single blanks stay; characters of all kinds against one-by-one removal."""
+    import random
+    rng = random.Random(2)
+    signs = [*map(chr, range(1, 256)), "  ", " ", "中", "鿿", "，", "é", "😀", "　", " ", "\x85", "ab"]
+    df = spark.createDataFrame([("".join(rng.choices(signs, k=rng.randint(0, 60))),) for _ in range(800)] + [(None,), ("".join(signs),)], "text string")
+    t = F.col("text")
+
+    def plain(removed):
+        return F.trim(F.regexp_replace(F.regexp_replace(t, removed, ""), f"{tx.SPACE}+", " "))
+    assert df.where(~tx.clean_en(t).eqNullSafe(plain(rf"""[^a-zA-Z0-9{tx.SPACE_SET}.,!?'"\-]"""))).count() == 0
+    assert df.where(~tx.clean_zh(t).eqNullSafe(plain(rf"[^\x{{4e00}}-\x{{9fff}}a-zA-Z0-9{tx.SPACE_SET}]"))).count() == 0
