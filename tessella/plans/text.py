@@ -8,6 +8,7 @@ from tessella.functions import text as tx
 from tessella.operators import text as ops
 from tessella.plans import sqlparts as sp
 from tessella.plans.registry import query
+from tessella.session import cut
 from tessella.sources.tables import spread, table
 
 R6 = 6
@@ -150,8 +151,9 @@ WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS
 SELECT doc_id, coalesce(s.stem, tok.term) AS term, count(*) AS n
 FROM tok LEFT JOIN stems s ON tok.term = s.term GROUP BY ALL""")
 def stem_tokens(spark, d):
-    counts = ops.term_counts(_docs(spark, d), ["doc_id"])
-    return ops.stem(counts, ["doc_id"], _stems(counts))
+    docs = _docs(spark, d)
+    stems = cut(_stems(ops.term_counts(docs, [])))
+    return ops.stemmed_counts(docs, ["doc_id"], stems)
 
 
 RANK = "row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)"
@@ -280,8 +282,8 @@ st AS (SELECT coalesce(stem, cnt.term) AS term, n FROM cnt LEFT JOIN stems ON cn
 t AS (SELECT term, sum(n)::BIGINT AS n FROM st GROUP BY term ORDER BY n DESC, term LIMIT 100)
 SELECT term, n, round(n::DOUBLE / max(n) OVER (), 6) AS weight FROM t""")
 def wordcloud_weights(spark, d):
-    counts = _counts(spark, d)
-    return ops.wordcloud_weights(ops.stem(counts, ["doc_id"], _stems(counts)), 100).withColumn(
+    counts = ops.term_counts(_docs(spark, d), [], _stop(spark))  # of the corpus: nothing is asked by document
+    return ops.wordcloud_weights(ops.stem(counts, [], _stems(counts)), 100).withColumn(
         "weight", F.round("weight", R6))
 
 

@@ -128,3 +128,13 @@ def test_strings_that_patterns_need(spark):
     for p in patterns:
         held = tx.holds(F.col("text"), p, 99)
         assert held is None or rows.where(F.col("text").rlike(p) & ~held).count() == 0
+
+
+def test_words_counted_where_texts_meet(spark):
+    """Stemmed counts and keywords as from plain counts, without shuffles of their own."""
+    from tessella.operators import text as ops
+    df = spark.createDataFrame([(1, "running run Runs x"), (1, "running sing"), (2, None), (3, ""), (4, "run sing sing")], "id int, text string")
+    stems = spark.createDataFrame([("running", "run"), ("sing", "s")], "term string, stem string")
+    found = ops.stemmed_counts(df, ["id"], stems)
+    want = ops.stem(ops.term_counts(df, ["id"]), ["id"], stems)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and (1, "run", 3) in set(map(tuple, found.collect()))
