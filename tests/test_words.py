@@ -138,3 +138,5 @@ def test_words_counted_where_texts_meet(spark):
     found = ops.stemmed_counts(df, ["id"], stems)
     want = ops.stem(ops.term_counts(df, ["id"]), ["id"], stems)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and (1, "run", 3) in set(map(tuple, found.collect()))
+    plan = ops.tfidf_keywords(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and ", term#" not in "".join(x for x in plan.split("\n") if "hashpartitioning(id#" in x)
