@@ -126,7 +126,7 @@ def grams(docs: DataFrame, key: str, names: DataFrame, name: str, text: str = "t
 
     @F.arrow_udf("array<struct<start:int,gram:string>>")
     def passing(texts: pa.Array) -> pa.Array:
-        out: list[list[dict]] = []
+        out: list[pa.Array] = []
         for run in au.runs(texts):
             codes, begins = au.characters(run)
             start, size = known.find(codes, np.repeat(begins[1:] - 1, np.diff(begins)))
@@ -134,8 +134,8 @@ def grams(docs: DataFrame, key: str, names: DataFrame, name: str, text: str = "t
             held, found = run.to_pylist(), [[] for _ in range(len(run))]
             for t, s, n in zip(of.tolist(), (start - begins[of]).tolist(), size.tolist()):
                 found[t].append({"start": s, "gram": held[t][s:s + n]})
-            out += found
-        return pa.array(out, kind)
+            out.append(pa.array(found, kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
     return unnest(docs, [key], passing(F.col(text)), "g").select(key, "g.*")
 
 

@@ -213,8 +213,8 @@ def _hits(text: Column, lexicon: Lexicon, schema: str, build: Callable) -> Colum
             for t, w, s in zip(of[free].tolist(), word[free].tolist(), (start - begins[of])[free].tolist()):
                 name = words.words[w]
                 found[t] += [build(held_[t], name, v, s) for v in weights[name]]
-            out += found
-        return pa.array(out, kind)
+            out.append(pa.array(found, kind))  # a run at a time: rows of Python take many times the room
+        return pa.concat_arrays(out) if out else pa.array([], kind)
     return find(text)
 
 

@@ -140,3 +140,16 @@ def test_words_counted_where_texts_meet(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and (1, "run", 3) in set(map(tuple, found.collect()))
     plan = ops.tfidf_keywords(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id#" in plan and ", term#" not in "".join(x for x in plan.split("\n") if "hashpartitioning(id#" in x)
+
+
+def test_hits_of_many_runs(spark, monkeypatch):
+    """Hits become columns run by run; the parts make one answer, texts without hits and NULL included."""
+    taken = []
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda fn: taken.append(fn) or (lambda c: c))
+    sn._hits(F.lit(""), [("ab", 1.0)], "word:string,weight:double,position:long",
+             lambda text, word, weight, at: {"word": word, "weight": weight, "position": at})
+    real = au.runs
+    monkeypatch.setattr(au, "runs", lambda texts: real(texts, 4))
+    out = taken[0](pa.array(["xab", None, "", "abab", "zzzz"]))
+    assert [[h["position"] for h in hits] for hits in out.to_pylist()] == [[1], [], [], [0, 2], []]
+    assert taken[0](pa.array([], pa.string())).to_pylist() == []
